@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, packing, rules, simhash
+from . import bpe, packing, rules, simhash, suffix_dedup
 from .common import table
 
 
@@ -29,6 +29,10 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digest(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digest(table(spark, sf_dir, "documents"))
+
+
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -43,6 +47,7 @@ def queries() -> dict:
     return {
         "op2_quality_rules": op2_quality_rules,
         "op3_byte_bpe": op3_byte_bpe,
+        "op4_suffix_dedup": op4_suffix_dedup,
         "op5_packing": op5_packing,
         "op7_simhash": op7_simhash,
         "extra2_rule_ablations": op2_rule_ablations,
