@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, packing, rules, simhash, suffix_dedup
+from . import bpe, langid, packing, rules, simhash, suffix_dedup, topk
 from .common import table
 
 
@@ -39,17 +40,32 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), public_tokenizers.PATTERN).drop("ids")
 
 
+def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    sample = langid.learn(docs.where(langid.fold() != langid.HELD_OUT))
+    found = langid.identify(docs, sample)
+    return found.select(F.col("doc_id").cast("long").alias("doc_id"), (langid.fold() == langid.HELD_OUT).alias("held_out"), "lang_pred", "score")
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = topk.scaled(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    best = topk.search(vectors, vectors.where("id % 20 = 0"))
+    return best.select(F.col("query").alias("query_id"), F.col("rank").cast("int").alias("rank"), F.col("id").alias("vec_id"), "score")
+
+
 def queries() -> dict:
     return {
         "op2_quality_rules": op2_quality_rules,
         "op3_byte_bpe": op3_byte_bpe,
         "op4_suffix_dedup": op4_suffix_dedup,
         "op5_packing": op5_packing,
+        "op6_language_id": op6_language_id,
         "op7_simhash": op7_simhash,
+        "op9_topk": op9_topk,
         "extra2_rule_ablations": op2_rule_ablations,
     }
 
@@ -86,6 +102,13 @@ book AS (
 def oracle_sql() -> dict:
     rows = ", ".join(f"('{name}', {1 << bit})" for name, (bit, _) in rules.RULES.items())
     return {
+        "op9_topk": """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS e FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e::DOUBLE[], c.e::DOUBLE[])::BIGINT AS score
+      FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 20 = 0)
+SELECT query_id, rank, vec_id, score FROM (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INT AS rank FROM s)
+WHERE rank <= 20""",
         "op2_quality_rules": _MEASURES + """
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (failed & 3) <> 0 AS base_failed, failed = 0 AS kept, failed
 FROM book""",
