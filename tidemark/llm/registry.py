@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, packing, rules, simhash, suffix_dedup, topk
+from . import bpe, html, langid, packing, quality, quotes, rules, simhash, suffix_dedup, topk
 from .common import table
 
 
@@ -15,6 +15,10 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     book = rules.judged(table(spark, sf_dir, "documents"))
     return book.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed")
@@ -57,15 +61,26 @@ def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return best.select(F.col("query").alias("query_id"), F.col("rank").cast("int").alias("rank"), F.col("id").alias("vec_id"), "score")
 
 
+def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes.conversations(table(spark, sf_dir, "conversations"))
+
+
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
 def queries() -> dict:
     return {
+        "op1_quality_classifier": op1_quality_classifier,
         "op2_quality_rules": op2_quality_rules,
         "op3_byte_bpe": op3_byte_bpe,
         "op4_suffix_dedup": op4_suffix_dedup,
         "op5_packing": op5_packing,
         "op6_language_id": op6_language_id,
         "op7_simhash": op7_simhash,
+        "op8_chat_formatting": op8_chat_formatting,
         "op9_topk": op9_topk,
+        "op10_html_extraction": op10_html_extraction,
         "extra2_rule_ablations": op2_rule_ablations,
     }
 

@@ -32,12 +32,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, stored, utf8
+from .common import stored, utf8
 
 LENGTH = 200
 K = 32
 #: Rows of one anchor sorted together.
-SHARD = 256
+SHARD = 1024
+#: Undecided windows matched between shards by one task, about.
+MATCHED = 1 << 19
 #: Bytes worked on at once.
 SEGMENT = 1 << 19
 CONTEXTS = 1 << 20
@@ -266,14 +268,15 @@ class Suffixes:
         return out
 
 
-_FOUND = "doc long, first long, end long, window long, times long"
+#: A row is a removed span, or (bucket not null) windows of a dealt-out anchor: hash, number, document, place.
+_FOUND = "doc long, first long, end long, bucket long, windows binary"
 
 
-def resolve(doc: np.ndarray, first: np.ndarray, anchor: np.ndarray, group: np.ndarray, shared: np.ndarray, blobs: list[bytes]) -> list[np.ndarray]:
-    """Columns of _FOUND for contexts ordered by group.
+def resolve(doc: np.ndarray, first: np.ndarray, anchor: np.ndarray, group: np.ndarray, shared: np.ndarray, blobs: list[bytes]) -> tuple[list[np.ndarray], np.ndarray]:
+    """Removed spans (document, first, end) of contexts ordered by group, and what stays open.
 
-    A row with window 0 is a removed span. For groups dealt over several shards (shared) each distinct window is
-    also returned once with its hash, its number in the shard, and where it starts when it is the only one.
+    For groups dealt over several shards (shared) each distinct window is also returned once: its hash, its number
+    here, and document and place of one such.
     """
     size = np.array([len(b) for b in blobs], np.int64)
     begin = np.cumsum(size) - size
@@ -288,7 +291,7 @@ def resolve(doc: np.ndarray, first: np.ndarray, anchor: np.ndarray, group: np.nd
     lo = np.maximum(LENGTH - more, place + LENGTH - end)  # windows start this many bytes before the anchor, at least
     hi = np.minimum(less, place - begin)
     some = (right_mate >= 0) & (hi >= lo)
-    out = [np.zeros(0, np.int64)] * 5
+    windows = np.zeros((0, 4), np.int64)
     alone = some & (right.size == 2) & ~shared
     spans = [(doc[alone], anchor[alone] - hi[alone], anchor[alone] - lo[alone] + LENGTH)]
     # rows with more company: the windows in their bounds, matched by hash
@@ -318,26 +321,39 @@ def resolve(doc: np.ndarray, first: np.ndarray, anchor: np.ndarray, group: np.nd
         one = order[told]
         wanted = shared[owner[one]]
         one, times = one[wanted], times[wanted]
-        where = anchor[owner[one]] - back[one]
-        out = [doc[owner[one]], np.where(times == 1, where, -1), where + LENGTH, window[one].view(np.int64), times]
-    d, a, z = (np.concatenate(x) for x in zip(*spans, strict=True))
-    zero = np.zeros(len(d), np.int64)
-    out[3] = np.where(out[3] == 0, 1, out[3])
-    return [np.concatenate(x) for x in zip((d, a, z, zero, zero), out, strict=True)]
+        windows = np.stack([window[one].view(np.int64), times, doc[owner[one]], anchor[owner[one]] - back[one]], axis=1)
+    return [np.concatenate(x) for x in zip(*spans, strict=True)], windows
 
 
-def _resolved(contexts: DataFrame) -> DataFrame:
+def match(tables: pa.Table) -> pa.Table:
+    """Stage 4: spans of windows that are single in their shard but known to another one."""
+    every = np.concatenate([np.frombuffer(b, np.int64).reshape(-1, 4) for b in tables.column("windows").to_pylist()])
+    every = every[np.argsort(every[:, 0], kind="stable")]
+    new = np.concatenate([[True], every[1:, 0] != every[:-1, 0]])
+    size = np.diff(np.concatenate([np.flatnonzero(new), [len(every)]]))
+    hit = every[(np.repeat(size, size) > 1) & (every[:, 1] == 1)]
+    return pa.table({"doc": hit[:, 2], "first": hit[:, 3], "end": hit[:, 3] + LENGTH})
+
+
+def _resolved(contexts: DataFrame, buckets: int) -> DataFrame:
     """Stage 3 over context rows that arrive sorted by key and shard."""
+    names = [x.split()[0] for x in _FOUND.split(", ")]
+    kinds = [pa.int64()] * 4 + [pa.binary()]
 
     def flush(rows: list) -> pa.RecordBatch:
-        names = [x.split()[0] for x in _FOUND.split(", ")]
         if not rows:
-            return pa.RecordBatch.from_arrays([pa.array([], pa.int64())] * 5, names)
+            return pa.RecordBatch.from_arrays([pa.array([], k) for k in kinds], names)
         key, shard, shards, doc, first, anchor, blob = zip(*rows, strict=True)
         key, shard = np.array(key, np.int64), np.array(shard, np.int64)
         group = np.cumsum(np.concatenate([[0], (key[1:] != key[:-1]) | (shard[1:] != shard[:-1])]))
-        found = resolve(np.array(doc, np.int64), np.array(first, np.int64), np.array(anchor, np.int64), group, np.array(shards, np.int64) > 1, list(blob))
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in found], names)
+        found, windows = resolve(np.array(doc, np.int64), np.array(first, np.int64), np.array(anchor, np.int64), group, np.array(shards, np.int64) > 1, list(blob))
+        bucket = windows[:, 0] % buckets
+        order = np.argsort(bucket, kind="stable")
+        told, start = np.unique(bucket[order], return_index=True)
+        blobs = [x.tobytes() for x in np.split(windows[order], start[1:])] if len(told) else []
+        n, m = len(found[0]), len(blobs)
+        columns = [np.concatenate([c, np.zeros(m, np.int64)]).tolist() for c in found] + [[None] * n + told.tolist(), [None] * n + blobs]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
     def run(batches):
         rows, held, now = [], 0, None
@@ -384,9 +400,9 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     rows = stored(anchor_rows(docs, id_col, text_col), "anchors")
     keys = rows.groupBy("key").agg(F.sum("times").alias("n"), F.min("context").alias("low"), F.max("context").alias("high")).where("n > 1")
-    again = stored(rows.join(keys, "key"), "again")
-    whole = again.where("low = high OR times > 1").select("doc", "first", "end")
-    mixed = again.where("low <> high")
+    again = stored(rows.join(keys.select("key", (F.col("low") != F.col("high")).alias("mixed")), "key"), "again")
+    whole = again.where("NOT mixed OR times > 1").select("doc", "first", "end")
+    mixed = again.where("mixed").drop("mixed")
     named = F.struct("doc", "first", "near", "anchor")
     contexts = stored(mixed.groupBy("key", "context").agg(F.sum("times").alias("n"), F.min(named).alias("one")), "contexts")
     # contexts that repeat whole: all their rows go, and one of them stands for the rest below
@@ -399,11 +415,10 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     fetched = _contexts(docs, wanted, id_col, text_col)
     shard = F.pmod(F.xxhash64("doc", "first"), F.col("shards"))
     sharded = fetched.withColumn("shard", shard).repartition(parts, "key", "shard").sortWithinPartitions("key", "shard", "doc", "first")
-    found = cut(_resolved(sharded))
-    part = found.where("window = 0").select("doc", "first", "end")
-    windows = found.where("window <> 0")
-    counts = windows.groupBy("window").agg(F.sum("times").alias("n")).where("n > 1").select("window")
-    crossing = windows.where("times = 1").join(counts, "window", "left_semi").select("doc", "first", "end")
+    dealt = several.where(F.col("m") > SHARD).agg(F.sum("m")).first()[0] or 0
+    found = stored(_resolved(sharded, max(1, dealt * LENGTH // MATCHED)), "found")
+    part = found.where("bucket is null").select("doc", "first", "end")
+    crossing = found.where("bucket is not null").groupBy("bucket").applyInArrow(match, "doc long, first long, end long")
     return whole.union(whole_mixed).union(part).union(crossing)
 
 
