@@ -27,8 +27,10 @@ from .common import cut
 
 #: Labelled documents that the classifier is fitted on, at most.
 SAMPLE = 20_000
-#: Words of the lexicon, at most; documents a word must be seen in among toxic ones; its least log-odds.
-LEXICON, SUPPORT, SIGNIFICANT = 2_000, 5, 1.5
+#: Words of the lexicon, at most; documents a word must be seen in among toxic ones; the least lower bound of its log-odds.
+LEXICON, SUPPORT, SIGNIFICANT = 2_000, 5, 1.0
+#: A text's lexicon score is the sum of its three weightiest words; its bins are halves.
+HEAVIEST, SCORES = 3, 40
 BINS = 12
 MEASURES = ("symbols", "capitals", "exclaims", "stutters", "distinct", "lines", "word_length", "digits")
 #: Evidence is capped at this many nats, and a site's log-odds may differ from the global ones by this many.
@@ -85,18 +87,22 @@ def _labelled(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
 class Classifier:
     """Fitted log-likelihood ratios."""
 
-    def __init__(self, bins: np.ndarray, lexicon: dict[str, float], clean: float):
-        self.bins, self.lexicon, self.clean = bins, lexicon, clean
+    def __init__(self, bins: np.ndarray, lexicon: dict[str, float], scores: np.ndarray):
+        self.bins, self.lexicon, self.scores = bins, lexicon, scores
         self.words = frozenset(lexicon)
 
+    def score(self, words: set[str]) -> int:
+        """Bin of the lexicon score of a text's distinct words."""
+        weights = sorted((self.lexicon[w] for w in words & self.words), reverse=True)
+        return min(int(2 * sum(weights[:HEAVIEST])), SCORES - 1)
+
     def evidence(self, text: str | None) -> tuple[float, float]:
         """Log-likelihood ratios of good against bad, and of toxic against not."""
         if not text or not text.strip():
             return 0.0, 0.0
         values, words = measure(text)
         good = float(self.bins[np.arange(len(MEASURES)), _bin(np.array(values))].sum())
-        bad_words = sum(self.lexicon[w] for w in words & self.words) if self.words else 0.0
-        toxic = bad_words if bad_words else self.clean
+        toxic = float(self.scores[self.score(words)])
         return max(-CAP, min(CAP, good)), max(-CAP, min(CAP, toxic))
 
 
@@ -117,7 +123,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Classifier:
     sums = np.zeros((2, len(MEASURES), BINS))
     for r in rows:
         sums[r["label"], r["measure"], r["bin"]] = r["n"]
-    rates = (sums + 0.5) / (sums.sum(axis=2, keepdims=True) + 0.5 * BINS)
+    rates = (sums + 2) / (sums.sum(axis=2, keepdims=True) + 2 * BINS)
     bins = np.log(rates[1]) - np.log(rates[0])
     if not sums[0].any() or not sums[1].any():
         bins[:] = 0.0
@@ -132,19 +138,38 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Classifier:
                     toxic.extend([1 if bad else 0] * len(own))
             yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(toxic, pa.int64())], ["word", "toxic"])
 
-    size = chosen.agg(F.count(F.when(F.col("toxic") != 0, 1)).alias("t"), F.count(F.when(F.col("toxic") == 0, 1)).alias("c")).first()
+    half = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(2))
+    size = chosen.where(half == 0).agg(F.count(F.when(F.col("toxic") != 0, 1)).alias("t"), F.count(F.when(F.col("toxic") == 0, 1)).alias("c")).first()
     t, c = size["t"], size["c"]
-    lexicon: dict[str, float] = {}
-    if t and c:
-        seen = chosen.select("text", "toxic").mapInArrow(listed, "word string, toxic long").groupBy("word").agg(F.sum("toxic").alias("t"), F.count("*").alias("n")).where(F.col("t") >= min(SUPPORT, max(2, t // 20)))
-        odds = F.log((F.col("t") + 0.5) / F.lit(t + 1.0)) - F.log((F.col("n") - F.col("t") + 0.5) / F.lit(c + 1.0))
-        found = seen.withColumn("odds", odds).where(F.col("odds") >= SIGNIFICANT).orderBy(F.desc(F.col("odds") * F.sqrt("t")), "word").limit(LEXICON).collect()
-        # a word weighs in by how surely it marks toxic documents: the odds' lower bound
-        for r in found:
-            lower = r["odds"] - 2 * math.sqrt(1 / (r["t"] + 0.5) + 1 / (r["n"] - r["t"] + 0.5))
-            if lower > 0.5:
-                lexicon[r["word"]] = min(r["odds"], CAP)
-    return Classifier(bins, lexicon, -2.0 if lexicon else 0.0)
+    model = Classifier(bins, {}, np.zeros(SCORES))
+    if not t or not c:
+        return model
+    seen = chosen.where(half == 0).select("text", "toxic").mapInArrow(listed, "word string, toxic long").groupBy("word").agg(F.sum("toxic").alias("t"), F.count("*").alias("n")).where(F.col("t") >= min(SUPPORT, max(2, t // 20)))
+    rest = F.col("n") - F.col("t")
+    odds = F.log((F.col("t") + 0.5) / F.lit(t + 1.0)) - F.log((rest + 0.5) / F.lit(c + 1.0))
+    lower = odds - 2 * F.sqrt(1 / (F.col("t") + 0.5) + 1 / (rest + 0.5))
+    found = seen.select("word", lower.alias("weight")).where(F.col("weight") >= SIGNIFICANT).orderBy(F.desc("weight"), "word").limit(LEXICON).collect()
+    model = Classifier(bins, {r["word"]: r["weight"] for r in found}, np.zeros(SCORES))
+
+    def scored(batches):
+        hist = np.zeros((2, SCORES), np.int64)
+        for batch in batches:
+            for text, bad in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if bad is not None:
+                    hist[1 if bad else 0, model.score(measure(text)[1])] += 1
+        at = np.nonzero(hist)
+        yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (*at, hist[at])], ["toxic", "bin", "n"])
+
+    # the other half says what a score is worth; a higher score never counts for less
+    hist = np.zeros((2, SCORES))
+    for r in chosen.where(half == 1).select("text", "toxic").mapInArrow(scored, "toxic long, bin long, n long").groupBy("toxic", "bin").agg(F.sum("n").alias("n")).collect():
+        hist[r["toxic"], r["bin"]] = r["n"]
+    if hist[0].any() and hist[1].any():
+        near = hist + np.pad(hist, ((0, 0), (1, 0)))[:, :-1] + np.pad(hist, ((0, 0), (0, 1)))[:, 1:]
+        near[:, 0] = hist[:, 0]
+        ratio = np.log((near[1] + 0.25) / (hist[1].sum() + 1)) - np.log((near[0] + 0.25) / (hist[0].sum() + 1))
+        model.scores = np.maximum.accumulate(ratio)
+    return model
 
 
 def evidence(docs: DataFrame, model: Classifier, columns: list[Column]) -> DataFrame:
