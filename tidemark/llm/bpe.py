@@ -22,7 +22,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import ragged, slices, utf8
+from .common import map_arrow, ragged, slices, utf8
 
 #: Distinct pieces a worker remembers before it starts afresh; bounds memory, changes no result.
 REMEMBERED = 200_000
@@ -249,7 +249,7 @@ def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", tex
             values = pa.ListArray.from_arrays(np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32), pa.array(np.concatenate(parts) if parts else np.zeros(0, np.int32), pa.int32()))
             yield pa.RecordBatch.from_arrays([keys, values], ["id", "ids"])
 
-    return docs.select(f"`{id_col}`", f"`{text_col}`").mapInArrow(run, f"id {kind}, ids array<int>").withColumnRenamed("id", id_col)
+    return map_arrow(docs.select(f"`{id_col}`", f"`{text_col}`"), run, f"id {kind}, ids array<int>").withColumnRenamed("id", id_col)
 
 
 def decode(encoded: DataFrame, path: str, pattern: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -262,7 +262,7 @@ def decode(encoded: DataFrame, path: str, pattern: str, id_col: str = "doc_id",
             texts = [coder.decode(np.array(x or [], np.int64)).decode("utf-8", "replace") for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], ["id", "text"])
 
-    return encoded.select(f"`{id_col}`", f"`{ids_col}`").mapInArrow(run, f"id {kind}, text string").withColumnRenamed("id", id_col)
+    return map_arrow(encoded.select(f"`{id_col}`", f"`{ids_col}`"), run, f"id {kind}, text string").withColumnRenamed("id", id_col)
 
 
 def digest(docs: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -276,4 +276,4 @@ def digest(docs: DataFrame, path: str, pattern: str) -> DataFrame:
                 [keys.cast(pa.int64()), pa.array([len(p) for p in parts], pa.int64()), pa.array(ids, pa.string()), pa.array(texts, pa.string())],
                 ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return map_arrow(docs.select("doc_id", "text"), run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
 import os
 import tempfile
 import uuid
@@ -11,6 +12,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
+#: Bytes of an Arrow batch sent to a Python worker, where the session has Spark's default.
+BATCH_BYTES = 8 << 20
+_BATCH, _BATCH_DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
 #: ASCII white space that separates words everywhere in this package.
 SPACES = " \t\n\x0b\x0c\r"
 
@@ -55,6 +59,28 @@ def _forget(spark: SparkSession, path: str) -> None:
         return
 
 
+def _released() -> None:
+    """Gives freed memory back, so that idle workers of one stage leave room for the next."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        return
+
+
+def map_arrow(df: DataFrame, run, schema) -> DataFrame:
+    """df.mapInArrow with batches bounded in bytes (texts vary widely in length) and memory given back after each task."""
+    conf = df.sparkSession.conf
+    if conf.get(_BATCH, None) in (None, _BATCH_DEFAULT):
+        conf.set(_BATCH, str(BATCH_BYTES))
+
+    def lean(batches):
+        yield from run(batches)
+        _released()
+
+    return df.mapInArrow(lean, schema)
+
+
 def utf8(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """All bytes of a string column and n + 1 offsets into them; a null reads as empty."""
     if isinstance(column, pa.ChunkedArray):

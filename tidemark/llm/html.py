@@ -23,6 +23,8 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import map_arrow
+
 #: HTML's void elements, those whose text is never shown, and block-level elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SILENT = "script style noscript template textarea title svg math iframe object canvas audio video select datalist"
@@ -232,5 +234,5 @@ def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", htm
             texts = [main_text(x.as_py()) for x in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["id", "url", "text", "n_chars"])
 
-    found = pages.select(f"`{id_col}`", f"`{url_col}`", f"`{html_col}`").mapInArrow(run, f"id {kind}, url string, text string, n_chars long")
+    found = map_arrow(pages.select(f"`{id_col}`", f"`{url_col}`", f"`{html_col}`"), run, f"id {kind}, url string, text string, n_chars long")
     return found.withColumnRenamed("id", id_col).withColumnRenamed("url", url_col)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import slices, utf8
+from .common import map_arrow, slices, utf8
 
 PER_LANGUAGE = 64
 SYMBOLS = 40_000
@@ -231,4 +231,4 @@ def identify(docs: DataFrame, sample: dict[str, list[str]], id_col: str = "doc_i
                 langs, score = model.predict([t or "" for t in batch.column(1).slice(lo, hi - lo).to_pylist()])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(langs, pa.string()), pa.array(score, pa.float64())], ["id", "lang_pred", "score"])
 
-    return docs.select(f"`{id_col}`", f"`{text_col}`").mapInArrow(run, f"id {kind}, lang_pred string, score double").withColumnRenamed("id", id_col)
+    return map_arrow(docs.select(f"`{id_col}`", f"`{text_col}`"), run, f"id {kind}, lang_pred string, score double").withColumnRenamed("id", id_col)

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, stored, utf8
+from .common import map_arrow, slices, stored, utf8
 
 WIDTH = 1024
 DIMENSIONS, BITS = 4, 10
@@ -47,7 +47,7 @@ _ENCODERS: dict = {}
 
 
 def encoder(path: str, pattern: str):
-    """A function from text to ids, the same ids as the tokenizers library's for this vocabulary.
+    """A function from text to ids, the same ids as the tokenizers library's for this vocabulary, and the number of ids.
 
     The merges of such a vocabulary are ranked by id, so a rank encoder over the same vocabulary gives the same
     ids at a quarter of the cost; the tests hold the two against each other.
@@ -55,8 +55,9 @@ def encoder(path: str, pattern: str):
     if (path, pattern) not in _ENCODERS:
         import tiktoken
 
-        _ENCODERS[path, pattern] = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=byte_ranks(path), special_tokens={})
-    return _ENCODERS[path, pattern].encode_ordinary
+        ranks = byte_ranks(path)
+        _ENCODERS[path, pattern] = tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={}).encode_ordinary, max(ranks.values()) + 1
+    return _ENCODERS[path, pattern]
 
 
 def _mixed(n: int, salt: int) -> np.ndarray:
@@ -117,8 +118,7 @@ def tokenized(docs: DataFrame, path: str, pattern: str, end_id: int = 0) -> Data
     """doc_id, key, doc_tokens and the ids (little-endian, 16 bits each where the vocabulary allows, else 32)."""
 
     def run(batches):
-        encode = encoder(path, pattern)
-        top = max(byte_ranks(path).values()) + 1
+        encode, top = encoder(path, pattern)
         table, kind = projection(top + 1), np.dtype("<u2" if top <= 65536 else "<u4")
         for batch in batches:
             _, at = utf8(batch.column(1))
@@ -130,7 +130,7 @@ def tokenized(docs: DataFrame, path: str, pattern: str, end_id: int = 0) -> Data
                     [batch.column(0).slice(lo, hi - lo).cast(pa.int64()), pa.array(keys, pa.int64()), pa.array(each, pa.int64()), pa.array([p.astype(kind).tobytes() for p in parts], pa.binary())],
                     ["doc_id", "key", "doc_tokens", "ids"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, key long, doc_tokens long, ids binary")
+    return map_arrow(docs.select("doc_id", "text"), run, "doc_id long, key long, doc_tokens long, ids binary")
 
 
 def pack(docs: DataFrame, path: str, pattern: str, width: int = WIDTH, end_id: int = 0) -> DataFrame:
@@ -155,7 +155,7 @@ def pack(docs: DataFrame, path: str, pattern: str, width: int = WIDTH, end_id: i
 
     def ranged(*columns: str) -> DataFrame:
         picked = place.select(*columns, "_order")
-        return picked.mapInArrow(ranges, ", ".join(f"{n} {t}" for n, t in [*picked.dtypes, ("_range", "int")]))
+        return map_arrow(picked, ranges, ", ".join(f"{n} {t}" for n, t in [*picked.dtypes, ("_range", "int")]))
 
     sizes = ranged("doc_tokens").groupBy("_range").agg(F.sum("doc_tokens").alias("n")).collect()
     count = np.zeros(len(bounds) + 1, np.int64)
@@ -189,7 +189,7 @@ def pack(docs: DataFrame, path: str, pattern: str, width: int = WIDTH, end_id: i
 
     dealt = ranged("doc_id", "doc_tokens", "ids").repartition(parts, "_range").sortWithinPartitions("_range", "_order", "doc_id", "ids")
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
-    return dealt.select("_range", "doc_id", "doc_tokens", "ids").mapInArrow(run, schema)
+    return map_arrow(dealt.select("_range", "doc_id", "doc_tokens", "ids"), run, schema)
 
 
 def _pieces(out: dict) -> pa.RecordBatch:

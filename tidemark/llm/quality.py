@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, map_arrow
 
 #: Labelled documents that the classifier is fitted on, at most.
 SAMPLE = 20_000
@@ -119,7 +119,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Classifier:
         at = np.nonzero(good)
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (*at, good[at])], ["label", "measure", "bin", "n"])
 
-    rows = chosen.select("text", "quality").mapInArrow(counted, "label long, measure long, bin long, n long").groupBy("label", "measure", "bin").agg(F.sum("n").alias("n")).collect()
+    rows = map_arrow(chosen.select("text", "quality"), counted, "label long, measure long, bin long, n long").groupBy("label", "measure", "bin").agg(F.sum("n").alias("n")).collect()
     sums = np.zeros((2, len(MEASURES), BINS))
     for r in rows:
         sums[r["label"], r["measure"], r["bin"]] = r["n"]
@@ -144,7 +144,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Classifier:
     model = Classifier(bins, {}, np.zeros(SCORES))
     if not t or not c:
         return model
-    seen = chosen.where(half == 0).select("text", "toxic").mapInArrow(listed, "word string, toxic long").groupBy("word").agg(F.sum("toxic").alias("t"), F.count("*").alias("n")).where(F.col("t") >= min(SUPPORT, max(2, t // 20)))
+    seen = map_arrow(chosen.where(half == 0).select("text", "toxic"), listed, "word string, toxic long").groupBy("word").agg(F.sum("toxic").alias("t"), F.count("*").alias("n")).where(F.col("t") >= min(SUPPORT, max(2, t // 20)))
     rest = F.col("n") - F.col("t")
     odds = F.log((F.col("t") + 0.5) / F.lit(t + 1.0)) - F.log((rest + 0.5) / F.lit(c + 1.0))
     lower = odds - 2 * F.sqrt(1 / (F.col("t") + 0.5) + 1 / (rest + 0.5))
@@ -162,7 +162,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Classifier:
 
     # the other half says what a score is worth; a higher score never counts for less
     hist = np.zeros((2, SCORES))
-    for r in chosen.where(half == 1).select("text", "toxic").mapInArrow(scored, "toxic long, bin long, n long").groupBy("toxic", "bin").agg(F.sum("n").alias("n")).collect():
+    for r in map_arrow(chosen.where(half == 1).select("text", "toxic"), scored, "toxic long, bin long, n long").groupBy("toxic", "bin").agg(F.sum("n").alias("n")).collect():
         hist[r["toxic"], r["bin"]] = r["n"]
     if hist[0].any() and hist[1].any():
         near = hist + np.pad(hist, ((0, 0), (1, 0)))[:, :-1] + np.pad(hist, ((0, 0), (0, 1)))[:, 1:]
@@ -184,7 +184,7 @@ def evidence(docs: DataFrame, model: Classifier, columns: list[Column]) -> DataF
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([a for a, _ in found], pa.float64()), pa.array([b for _, b in found], pa.float64())], [*keys, "ev_good", "ev_toxic"])
 
     schema = ", ".join(f"`{n}` {k}" for n, k in [*picked.dtypes[:-1], ("ev_good", "double"), ("ev_toxic", "double")])
-    return picked.mapInArrow(run, schema)
+    return map_arrow(picked, run, schema)
 
 
 def _strength(table: DataFrame, hits: str, n: str, rate: float) -> float:

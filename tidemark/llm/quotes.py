@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import cut
+from .common import cut, map_arrow
 
 MARK = re.compile(r"[ \t]*((?:>[ \t]?)+)")
 ATTRIBUTION = re.compile(r"^.{0,200}\b(?:wrote|writes|said|schrieb|a écrit|escribió)\s*:\s*$", re.I)
@@ -86,7 +86,7 @@ def parsed(messages: DataFrame) -> DataFrame:
                 ["conv_id", "turn", "role", "n", "text", "quotes", "said"])
 
     picked = messages.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
-    return picked.mapInArrow(run, _PARSED)
+    return map_arrow(picked, run, _PARSED)
 
 
 def links(messages: DataFrame) -> DataFrame:

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, map_arrow
 
 SHINGLE = 4
 RADIUS = 4
@@ -71,7 +71,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             found = np.array([fingerprint(x.as_py(), width) for x in batch.column(1)], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64), pa.int64())], ["id", "fp"])
 
-    return docs.select(f"`{id_col}`", f"`{text_col}`").mapInArrow(run, f"id {kind}, fp long").withColumnRenamed("id", id_col)
+    return map_arrow(docs.select(f"`{id_col}`", f"`{text_col}`"), run, f"id {kind}, fp long").withColumnRenamed("id", id_col)
 
 
 def _shards(distinct: DataFrame) -> DataFrame:

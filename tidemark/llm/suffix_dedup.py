@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored, utf8
+from .common import map_arrow, stored, utf8
 
 LENGTH = 200
 K = 32
@@ -166,7 +166,7 @@ def anchor_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 _rows(texts, out)
             yield _table(out)
 
-    return docs.select(f"`{id_col}`", f"`{text_col}`").mapInArrow(run, _ROWS)
+    return map_arrow(docs.select(f"`{id_col}`", f"`{text_col}`"), run, _ROWS)
 
 
 def _table(out: list) -> pa.RecordBatch:
@@ -256,7 +256,7 @@ class Suffixes:
     def _verified(self, a: np.ndarray, b: np.ndarray, common: np.ndarray) -> np.ndarray:
         """Collision check: the length over which the bytes themselves agree, up to ``common``."""
         out, data = common.copy(), self.prefixes.data
-        step = max(1, (1 << 22) // max(1, int(common.max(initial=1))))
+        step = max(1, (1 << 19) // max(1, int(common.max(initial=1))))
         for at in range(0, len(a), step):
             x, y, c = self.start[a[at : at + step]], self.start[b[at : at + step]], common[at : at + step]
             column = np.arange(int(c.max(initial=0)))
@@ -367,7 +367,7 @@ def _resolved(contexts: DataFrame, buckets: int) -> DataFrame:
                 held += len(row[6])
         yield flush(rows)
 
-    return contexts.select("key", "shard", "shards", "doc", "first", "anchor", "blob").mapInArrow(run, _FOUND)
+    return map_arrow(contexts.select("key", "shard", "shards", "doc", "first", "anchor", "blob"), run, _FOUND)
 
 
 def _contexts(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -392,7 +392,7 @@ def _contexts(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) ->
                     [flat.field(0)[i:j], flat.field(1)[i:j], pa.array(doc[i:j]), pa.array(first[i:j]), flat.field(4)[i:j], pa.array([raw[a:b] for a, b in zip(lo[i:j], hi[i:j], strict=True)], pa.binary())],
                     ["key", "shards", "doc", "first", "anchor", "blob"])
 
-    return joined.mapInArrow(run, "key long, shards long, doc long, first long, anchor long, blob binary")
+    return map_arrow(joined, run, "key long, shards long, doc long, first long, anchor long, blob binary")
 
 
 def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -464,7 +464,7 @@ def digest(docs: DataFrame) -> DataFrame:
                 [batch.column(0).cast(pa.int64()), *(pa.array(c, pa.int64()) for c in columns[:3]), pa.array(columns[3], pa.string())],
                 ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
-    return _joined(docs.select("doc_id", "text"), "doc_id", "text").select("doc_id", "text", "_spans").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return map_arrow(_joined(docs.select("doc_id", "text"), "doc_id", "text").select("doc_id", "text", "_spans"), run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def cleaned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -490,4 +490,4 @@ def cleaned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
             columns = [pa.array(texts, pa.string()) if i == text_at else batch.column(i) for i in range(len(names))]
             yield pa.RecordBatch.from_arrays(columns, names)
 
-    return joined.mapInArrow(run, docs.schema)
+    return map_arrow(joined, run, docs.schema)
