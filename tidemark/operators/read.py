@@ -269,8 +269,8 @@ class DocTable:
         if self.schema.sort_type is KeyType.STRING:
             rows = rows.select(key.alias("_key"), F.substring_index(key, "#", 1).alias("prefix"), F.contains(key, F.lit("#")).alias("_more"))
         elif self.schema.sort_type is KeyType.NUMBER:
-            whole = key == F.floor(key)
-            text = F.when(whole, F.format_string("%.0f", key.cast("double"))).otherwise(key.cast("string"))
+            whole = key == F.rint(key.cast("double"))
+            text = F.when(whole, F.format_string("%.0f", key.cast("double"))).otherwise(key.cast("string"))  # shortest text of fractions
             rows = rows.select(key.alias("_key"), text.alias("prefix"), F.lit(False).alias("_more"))
         else:
             rows = rows.select(key.alias("_key"), F.concat(F.lit("["), F.array_join(F.transform(F.sequence(F.lit(1), F.length(key)), lambda i: F.conv(F.hex(F.substring(key, i, F.lit(1))), 16, 10)), ", "), F.lit("]")).alias("prefix"), F.lit(False).alias("_more"))

@@ -10,6 +10,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from ..functions.expr import Expr, compile_condition
@@ -61,7 +62,7 @@ def conditional(base: DataFrame, puts: DataFrame, keys: Sequence[str], condition
     present item as ``_old``. version names a column of both: expected in puts, actual in base, 0 where absent."""
     attributes = [c for c in base.columns if c not in keys]
     inner = base.withColumn("_met", compile_condition(condition, TypedResolver(base)))
-    empty = base.sparkSession.createDataFrame([tuple([None] * len(base.columns))], _nullable(base))
+    empty = base.sparkSession.createDataFrame([tuple([None] * len(base.columns))], loose(base.schema))
     absent = empty.select(compile_condition(condition, TypedResolver(empty)).alias("c"))
     old = inner.select(*_keys(keys), "_met", F.struct(*_keys(keys), *[F.col(f"`{c}`") for c in attributes]).alias("_old"))
     joined = puts.join(old, list(keys), "left").join(F.broadcast(absent))  # one row
@@ -71,12 +72,6 @@ def conditional(base: DataFrame, puts: DataFrame, keys: Sequence[str], condition
     return joined.withColumn("_ok", met).drop("c", "_met")
 
 
-def _nullable(df: DataFrame):
-    from pyspark.sql import types as T
-
-    return T.StructType([T.StructField(f.name, f.dataType, True) for f in df.schema.fields])
-
-
 def require(checked: DataFrame) -> DataFrame:
     """The puts of ``conditional`` if all of them may go; raises ConditionCheckFailed, and writes nothing, if one may not."""
     failed = checked.where(~F.col("_ok")).limit(1).count()
@@ -101,12 +96,21 @@ def update(base: DataFrame, targets: DataFrame, keys: Sequence[str], actions: Se
     made = {}
     for name in dict.fromkeys(a.path.split(".")[0] for a in actions):
         new = _expression(hit, [a for a in actions if a.path.split(".")[0] == name], keys, name)
-        kind = hit.select(new.alias("x")).schema["x"].dataType
+        kind = loose(hit.select(new.alias("x")).schema["x"].dataType)
         old = F.col(f"`{name}`").cast(kind) if name in hit.columns else F.lit(None).cast(kind)
         made[name] = F.when(F.col("_hit"), new.cast(kind)).otherwise(old)
     return hit.withColumns(made).drop("_hit")
 
 
+def loose(kind: T.DataType) -> T.DataType:
+    """A type whose fields and elements may all be null."""
+    if isinstance(kind, T.StructType):
+        return T.StructType([T.StructField(f.name, loose(f.dataType), True) for f in kind.fields])
+    if isinstance(kind, T.ArrayType):
+        return T.ArrayType(loose(kind.elementType), True)
+    return kind
+
+
 def _expression(df: DataFrame, actions: Sequence[Action], keys: Sequence[str], name: str) -> Column:
     """What several actions on one attribute make of it, as a single column."""
     check_keys(actions, keys)
