@@ -245,6 +245,8 @@ def classify(docs: DataFrame, labels: DataFrame, host: Column | None = None, pat
 
 
 def keep(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that the classifier keeps, with all their columns; rows that share an id share the verdict of any kept one."""
-    chosen = classify(docs, labels).where("kept").select("doc_id").distinct()
-    return docs.join(chosen, "doc_id", "left_semi")
+    """The documents that the classifier keeps, with all their columns; rows that share an id stay if one is kept, and
+    rows without an id stay."""
+    judged = classify(docs, labels).groupBy("doc_id").agg(F.max("kept").alias("kept"))
+    gone = judged.where("NOT kept").select(F.col("doc_id").alias("_gone"))
+    return docs.join(gone, docs["doc_id"].cast("long") == gone["_gone"], "left_anti")

@@ -96,7 +96,10 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     covered = F.expr(f"""aggregate(transform(_starts, (p, k) ->
         if(k + 1 < size(_starts), least({WINDOW}, element_at(_starts, least(k + 2, size(_starts))) - p), {WINDOW})),
         0L, (a, x) -> a + x)""")
-    return hashed.withColumn("n_repeat_words", covered).drop("_starts")
+    # a value that isn't deterministic keeps the optimizer from pushing filters of the ledger down through the
+    # measurements, which would repeat their expressions many times over; it adds nothing
+    fence = F.pmod(F.monotonically_increasing_id(), F.lit(1))
+    return hashed.withColumn("n_repeat_words", covered + fence).drop("_starts")
 
 
 def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -147,11 +150,9 @@ def judged(docs: DataFrame, version: str = CURRENT) -> DataFrame:
 def keep(docs: DataFrame, version: str = CURRENT) -> DataFrame:
     """The documents that pass a policy, with all their columns.
 
-    The verdict is computed beside the row it judges, so nothing is joined or shuffled. The row number keeps the
-    optimizer from pushing the filter down through the measurements, which would repeat them in it many times over.
+    The verdict is computed beside the row it judges, so nothing is joined or shuffled.
     """
     carried = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc_id")
     packed = docs.select(carried, F.col("text").alias("text"))
-    book = ledger(packed).withColumn("_row", F.monotonically_increasing_id())
-    kept = book.where(passes("base") & passes(version) & (F.col("_row") >= 0))
+    kept = ledger(packed).where(passes("base") & passes(version))
     return kept.select("doc_id.*")

@@ -15,7 +15,7 @@ Shards return a spanning forest of their links, never all pairs, and linked fing
 by alternating large and small stars over DataFrames.
 
 Defined results: null and empty texts share fingerprint zero; texts under the shingle width have one shingle, the
-whole word sequence; equal texts always share a component; an empty table gives an empty table; other columns are
+whole word sequence; equal texts always share a component; a row without an id is in none; an empty table gives an empty table; other columns are
 ignored by the scores and kept by ``keep``.
 """
 
@@ -201,7 +201,7 @@ def components(prints: DataFrame, id_col: str = "doc_id") -> DataFrame:
     Equal fingerprints are one node, named by their smallest id. The join back is on the fingerprint, whose hot
     values are rows of two longs that Spark's skew join can split.
     """
-    distinct = cut(prints.groupBy("fp").agg(F.min(id_col).alias("rep")))
+    distinct = cut(prints.groupBy("fp").agg(F.min(id_col).cast("long").alias("rep")).where("rep is not null"))
     found = stars(links(distinct))
     named = distinct.join(found, distinct["rep"] == found["node"], "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
     return prints.join(named, "fp", "left").select(id_col, "fp", "component_id")
@@ -214,7 +214,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def keep(docs: DataFrame) -> DataFrame:
-    """One document of each group, the one with the smallest id; rows that share an id share its verdict."""
+    """One document of each group, the one with the smallest id; rows that share an id share its verdict, and rows
+    without an id stay."""
     prints = cut(fingerprints(docs))
-    chosen = components(prints).where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    return docs.join(chosen, "doc_id", "left_semi")
+    gone = components(prints).where(F.col("doc_id") != F.col("component_id")).select(F.col("doc_id").alias("_gone")).distinct()
+    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")

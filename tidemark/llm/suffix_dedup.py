@@ -18,7 +18,7 @@ without moving every position:
 
 Defined results: a null or empty text has no bytes; texts under LENGTH bytes lose nothing; repeated rows are copies
 of each other and lose all their windows; an empty table gives an empty table; documents are named by id_col, which
-must be a unique integer; other columns pass through ``cleaned`` untouched. Hashes are 64 bits each; a row counts as
+must be a unique integer (a row without one takes no part and loses nothing); other columns pass through ``cleaned`` untouched. Hashes are 64 bits each; a row counts as
 a repeat by two of them (anchor and context) or by bytes.
 """
 
@@ -373,7 +373,7 @@ def _resolved(contexts: DataFrame, buckets: int) -> DataFrame:
 def _contexts(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The bytes of the wanted rows, fetched from their documents."""
     listed = wanted.groupBy("doc").agg(F.collect_list(F.struct("key", "shards", "first", "end", "anchor")).alias("_wanted"))
-    joined = docs.select(F.col(id_col).cast("long").alias("doc"), F.col(text_col).alias("_text")).join(listed, "doc").select("doc", "_text", "_wanted")
+    joined = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc"), F.col(f"`{text_col}`").alias("_text")).join(listed, "doc").select("doc", "_text", "_wanted")
 
     def run(batches):
         for batch in batches:
@@ -398,6 +398,7 @@ def _contexts(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) ->
 def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc, first, end: byte ranges to remove; they may overlap."""
     parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    docs = docs.where(F.col(f"`{id_col}`").isNotNull())
     rows = stored(anchor_rows(docs, id_col, text_col), "anchors")
     keys = rows.groupBy("key").agg(F.sum("times").alias("n"), F.min("context").alias("low"), F.max("context").alias("high")).where("n > 1")
     again = stored(rows.join(keys.select("key", (F.col("low") != F.col("high")).alias("mixed")), "key"), "again")
@@ -433,8 +434,10 @@ def _merged(first: list[int], end: list[int], size: int) -> list[tuple[int, int]
 
 
 def _joined(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    listed = spans(docs, id_col, text_col).groupBy("doc").agg(F.collect_set(F.struct("first", "end")).alias("_spans"))
-    return docs.join(listed, docs[id_col].cast("long") == listed["doc"], "left").drop("doc")
+    """The columns of docs and _spans; the row travels as one struct, so its names meet no others."""
+    listed = spans(docs, id_col, text_col).groupBy(F.col("doc").alias("_doc")).agg(F.collect_set(F.struct("first", "end")).alias("_spans"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(f"`{id_col}`").cast("long").alias("_doc"))
+    return rows.join(listed, "_doc", "left").select(*[F.col("_row").getField(c).alias(c) for c in docs.columns], "_spans")
 
 
 def _each(batch: pa.RecordBatch, text: int, spans_at: int):
@@ -474,7 +477,7 @@ def cleaned(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     that consists of repeats keeps an empty text.
     """
     names = docs.columns
-    joined = _joined(docs, id_col, text_col).select(*[f"`{c}`" for c in names], "_spans")
+    joined = _joined(docs, id_col, text_col)
     text_at = names.index(text_col)
 
     def run(batches):

@@ -9,7 +9,7 @@ The k-th score is shared: a first pass searches each query in one shard only, an
 the floor with which the query enters every other shard. Queries are a stated set; they travel in blocks, all
 queries of a block through one shard at a time.
 
-Defined results: vectors that are null or hold null or non-finite components take no part, as query or candidate; a
+Defined results: vectors that are null or hold null or non-finite components, or no id, take no part, as query or candidate; a
 query with fewer than k candidates returns all; ties go to the smaller id; repeated rows count each; vectors of
 unequal length are padded with zeros; an empty table gives an empty table; extra columns are ignored.
 """
@@ -93,7 +93,7 @@ def scaled(vectors: DataFrame, id_col: str, vector_col: str, scale: int = SCALE)
     """id and ``v``, floor(scale * component) as doubles, of the rows that take part."""
     v = F.col(vector_col)
     fine = v.isNotNull() & ~F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    return vectors.where(fine).select(F.col(id_col).cast("long").alias("id"), F.transform(v, lambda x: F.floor(x.cast("double") * scale).cast("double")).alias("v"))
+    return vectors.where(fine & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.transform(v, lambda x: F.floor(x.cast("double") * scale).cast("double")).alias("v"))
 
 
 def _matrix(column: pa.ChunkedArray, width: int | None = None) -> np.ndarray:
