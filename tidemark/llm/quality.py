@@ -130,46 +130,56 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Classifier:
 
     def listed(batches):
         for batch in batches:
-            words, toxic = [], []
-            for text, bad in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if bad is not None:
-                    own = measure(text)[1] - {""}
-                    words.extend(own)
-                    toxic.extend([1 if bad else 0] * len(own))
-            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(toxic, pa.int64())], ["word", "toxic"])
-
-    half = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(2))
-    size = chosen.where(half == 0).agg(F.count(F.when(F.col("toxic") != 0, 1)).alias("t"), F.count(F.when(F.col("toxic") == 0, 1)).alias("c")).first()
-    t, c = size["t"], size["c"]
-    model = Classifier(bins, {}, np.zeros(SCORES))
-    if not t or not c:
-        return model
-    seen = map_arrow(chosen.where(half == 0).select("text", "toxic"), listed, "word string, toxic long").groupBy("word").agg(F.sum("toxic").alias("t"), F.count("*").alias("n")).where(F.col("t") >= min(SUPPORT, max(2, t // 20)))
-    rest = F.col("n") - F.col("t")
-    odds = F.log((F.col("t") + 0.5) / F.lit(t + 1.0)) - F.log((rest + 0.5) / F.lit(c + 1.0))
-    lower = odds - 2 * F.sqrt(1 / (F.col("t") + 0.5) + 1 / (rest + 0.5))
-    found = seen.select("word", lower.alias("weight")).where(F.col("weight") >= SIGNIFICANT).orderBy(F.desc("weight"), "word").limit(LEXICON).collect()
-    model = Classifier(bins, {r["word"]: r["weight"] for r in found}, np.zeros(SCORES))
+            words, toxic, halves = [], [], []
+            for text, bad, part in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                own = measure(text)[1] - {""}
+                words.extend(own)
+                toxic.extend([bad] * len(own))
+                halves.extend([part] * len(own))
+            yield pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(toxic, pa.int64()), pa.array(halves, pa.int64())], ["word", "toxic", "half"])
+
+    half = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(2)).cast("long")
+    parted = chosen.where("toxic is not null").select("text", F.when(F.col("toxic") != 0, 1).otherwise(0).alias("toxic"), half.alias("half"))
+    size = {(r["half"], r["toxic"]): r["n"] for r in parted.groupBy("half", "toxic").agg(F.count("*").alias("n")).collect()}
+    toxic, clean = ([size.get((0, k), 0), size.get((1, k), 0)] for k in (1, 0))
+    if not sum(toxic) or not sum(clean):
+        return Classifier(bins, {}, np.zeros(SCORES))
+    hit = lambda h, t: F.sum(F.when((F.col("half") == h) & (F.col("toxic") == t), 1).otherwise(0))
+    words = map_arrow(parted, listed, "word string, toxic long, half long").groupBy("word").agg(hit(0, 1).alias("t0"), hit(0, 0).alias("c0"), hit(1, 1).alias("t1"), hit(1, 0).alias("c1"))
+
+    def weight(t: Column, c: Column, n_toxic: int, n_clean: int) -> Column:
+        """The lower bound of a word's log-odds; none below the support."""
+        odds = F.log((t + 0.5) / F.lit(n_toxic + 1.0)) - F.log((c + 0.5) / F.lit(n_clean + 1.0))
+        return F.when(t >= min(SUPPORT, max(2, n_toxic // 20)), odds - 2 * F.sqrt(1 / (t + 0.5) + 1 / (c + 0.5)))
+
+    t0, c0, t1, c1 = map(F.col, ("t0", "c0", "t1", "c1"))
+    views = [weight(t0, c0, toxic[0], clean[0]), weight(t1, c1, toxic[1], clean[1]), weight(t0 + t1, c0 + c1, sum(toxic), sum(clean))]
+    weighed = words.select("word", *[v.alias(f"w{i}") for i, v in enumerate(views)])
+    top = F.greatest(*[F.coalesce(f"w{i}", F.lit(-1.0)) for i in range(3)])
+    found = weighed.where(top >= SIGNIFICANT).orderBy(top.desc(), "word").limit(3 * LEXICON).collect()
+    lexicons = []
+    for i in range(3):
+        best = sorted(((r[f"w{i}"], r["word"]) for r in found if r[f"w{i}"] is not None and r[f"w{i}"] >= SIGNIFICANT), key=lambda x: (-x[0], x[1]))
+        lexicons.append({w: float(x) for x, w in best[:LEXICON]})
+    models = [Classifier(bins, lexicon, np.zeros(SCORES)) for lexicon in lexicons]
 
     def scored(batches):
         hist = np.zeros((2, SCORES), np.int64)
         for batch in batches:
-            for text, bad in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                if bad is not None:
-                    hist[1 if bad else 0, model.score(measure(text)[1])] += 1
+            for text, bad, part in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+                hist[bad, models[1 - part].score(measure(text)[1])] += 1
         at = np.nonzero(hist)
         yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (*at, hist[at])], ["toxic", "bin", "n"])
 
-    # the other half says what a score is worth; a higher score never counts for less
+    # each half, scored by the other one's lexicon, says what a score is worth; a higher score never counts for less
     hist = np.zeros((2, SCORES))
-    for r in map_arrow(chosen.where(half == 1).select("text", "toxic"), scored, "toxic long, bin long, n long").groupBy("toxic", "bin").agg(F.sum("n").alias("n")).collect():
+    for r in map_arrow(parted, scored, "toxic long, bin long, n long").groupBy("toxic", "bin").agg(F.sum("n").alias("n")).collect():
         hist[r["toxic"], r["bin"]] = r["n"]
-    if hist[0].any() and hist[1].any():
-        near = hist + np.pad(hist, ((0, 0), (1, 0)))[:, :-1] + np.pad(hist, ((0, 0), (0, 1)))[:, 1:]
-        near[:, 0] = hist[:, 0]
-        ratio = np.log((near[1] + 0.25) / (hist[1].sum() + 1)) - np.log((near[0] + 0.25) / (hist[0].sum() + 1))
-        model.scores = np.maximum.accumulate(ratio)
-    return model
+    near = hist + np.pad(hist, ((0, 0), (1, 0)))[:, :-1] + np.pad(hist, ((0, 0), (0, 1)))[:, 1:]
+    near[:, 0] = hist[:, 0]
+    ratio = np.log((near[1] + 0.25) / (hist[1].sum() + 1)) - np.log((near[0] + 0.25) / (hist[0].sum() + 1))
+    models[2].scores = np.maximum.accumulate(ratio)
+    return models[2]
 
 
 def evidence(docs: DataFrame, model: Classifier, columns: list[Column]) -> DataFrame:
