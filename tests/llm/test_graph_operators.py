@@ -77,16 +77,40 @@ def test_components_match_all_pairs(spark):
     assert got == _components(prints)
 
 
-def test_a_dense_group_keeps_all_links(monkeypatch):
-    monkeypatch.setattr(simhash, "HELD", 50)
+def _similar(texts):
+    """ids -> smallest reachable id under both metrics, comparing all pairs."""
+    narrow = np.array([simhash.fingerprint(t) for _, t in texts], np.uint64)
+    wide = np.array([simhash.wide_fingerprint(t) for _, t in texts], np.int64).view(np.uint64)
+    blocks = wide.view(np.uint16).reshape(len(texts), 16)
+    label = list(range(len(texts)))
+
+    def root(i):
+        while label[i] != i:
+            i = label[i]
+        return i
+
+    for i in range(1, len(texts)):
+        near = np.bitwise_count(narrow[:i] ^ narrow[i]) <= 4
+        alike = (np.bitwise_count(wide[:i] ^ wide[i]).sum(axis=1) <= simhash.WIDE.radius) & (np.bitwise_count(blocks[:i] ^ blocks[i]) <= 1).any(axis=1)
+        for j in np.flatnonzero(near | alike).tolist():
+            label[root(j)] = root(i)
+    groups = {}
+    for i, (d, _) in enumerate(texts):
+        groups.setdefault(root(i), []).append(d)
+    return {d: min(own) for own in groups.values() for d in own}
+
+
+@pytest.mark.parametrize("leaf", [1 << 14, 64])
+def test_dense_groups_keep_all_links(monkeypatch, leaf):
+    monkeypatch.setattr(simhash, "LEAF", leaf)
     r = random.Random(1)
-    words = np.array([sum(1 << b for b in r.sample(range(64), r.randint(0, 3))) for _ in range(400)], np.uint64)
-    a, b = simhash.tree_pairs(words & np.uint64((1 << 21) - 1), np.arange(400), np.arange(400), words)
-    label = simhash.forest(400, a, b)
-    want = _components([(i, int(w)) for i, w in enumerate(words)])
-    near = {i: min(j for j in range(400) if label[j] == label[i]) for i in range(400)}
-    same_block = all(want[i] == want[near[i]] for i in range(400))
-    assert same_block and len(set(near.values())) >= len(set(want.values()))
+    words = [sum(1 << b for b in r.sample(range(64), r.randint(0, 3))) for _ in range(500)] + [r.getrandbits(64) for _ in range(60)]
+    whole = np.array(words, np.uint64)[:, None]
+    block = (whole[:, 0] & np.uint64((1 << 21) - 1)).astype(np.uint32)
+    label = simhash.tree_links(block, np.arange(560), np.arange(560), whole, 4)
+    near = [(i, j) for i in range(560) for j in range(i) if (words[i] ^ words[j]).bit_count() <= 4 and ((words[i] ^ words[j]) & ((1 << 21) - 1)).bit_count() <= 1]
+    want = simhash.forest(560, np.array([a for a, _ in near]), np.array([b for _, b in near]))
+    assert label.tolist() == want.tolist()
 
 
 def test_near_duplicates_of_the_test_tables(spark):
@@ -94,8 +118,35 @@ def test_near_duplicates_of_the_test_tables(spark):
     texts = [tuple(r) for r in docs.select("doc_id", "text").collect()]
     want = _components([(d, _fingerprint(t)) for d, t in texts])
     assert {r.doc_id: r.component_id for r in simhash.near_duplicates(docs).collect()} == want
+    alike = _similar(texts)
+    assert {r.doc_id: r.component_id for r in simhash.similar(docs).collect()} == alike
     kept = simhash.keep(docs)
-    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted(set(want.values()))
+    assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted(set(alike.values()))
+
+
+def test_copies_from_a_similarity_of_eight_tenths(spark):
+    r = random.Random(3)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(7))
+    docs, pairs = [], []
+    for _ in range(150):
+        base = [word() for _ in range(r.choice([60, 150, 400]))]
+        copy = list(base)
+        while _jaccard(base, copy) > 0.83:
+            changed = list(copy)
+            changed[r.randrange(len(copy))] = word()
+            if _jaccard(base, changed) < 0.8:
+                break
+            copy = changed
+        pairs.append((len(docs), len(docs) + 1))
+        docs += [" ".join(base), " ".join(copy)]
+    got = {x.doc_id: x.component_id for x in simhash.similar(spark.createDataFrame(list(enumerate(docs)), "doc_id long, text string")).collect()}
+    assert sum(got[b] == a for a, b in pairs) >= 0.95 * len(pairs)
+    assert all(got[a] == a for a, _ in pairs)  # texts that have nothing in common stay apart
+
+
+def _jaccard(a, b):
+    x, y = ({tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (a, b))
+    return len(x & y) / len(x | y)
 
 
 def test_simhash_on_odd_rows(spark):
@@ -282,7 +333,7 @@ def test_pipeline_stages_take_effect(spark):
     toxic = [r.doc_id for r in ruled.collect() if r.doc_id in labels and labels[r.doc_id].toxic == 1]
     assert sum(d in left for d in toxic) / len(toxic) < 0.35  # forty toxic labels teach few words
     unique = c.near_duplicates(spark, judged, SF).cache()
-    groups = _components([(d, _fingerprint(t)) for d, t in left.items()])
+    groups = _similar(list(left.items()))
     assert unique.columns == docs.columns and {r.doc_id for r in unique.collect()} == set(groups.values())
     cut = c.repeated_passages(spark, unique, SF).cache()
     assert cut.columns == docs.columns and {r.doc_id: r.text for r in cut.collect()} == brute_suffix([(r.doc_id, r.text) for r in unique.collect()])
