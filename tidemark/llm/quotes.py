@@ -10,9 +10,9 @@ Messages are ordered by turn, so a reply follows what it replies to. A place in
 of turns first and within the range after, so a conversation of any length is never gathered in one task.
 
 Defined results: a null text has no own text and no quotes; a passage whose original isn't in the table links to
-nothing; of several originals the latest one before the message counts, in the same conversation first; messages
-repeated in all columns keep their rows and take places after each other; a null turn sorts first; an empty table
-gives an empty table; extra columns are ignored.
+nothing; of several originals the latest one before the message counts, in the same conversation first, else the
+first one anywhere; messages that share a turn, repeated ones too, keep their rows and share its place, and later
+places count them all; a null turn sorts first; an empty table gives an empty table; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -33,8 +33,6 @@ ATTRIBUTION = re.compile(r"^.{0,200}\b(?:wrote|writes|said|schrieb|a écrit|escr
 RANGE = 1024
 #: A passage shorter than this many letters quotes nothing in particular.
 LEAST = 12
-#: Originals of one passage are kept per conversation and range of turns: the latest in each.
-LEVELS = 8
 
 
 def _normal(lines: list[str]) -> str:
@@ -47,7 +45,7 @@ def _hash(text: str) -> int:
 
 
 def parse(text: str | None) -> tuple[str, list[tuple[int, int]], list[int]]:
-    """The text without quotes, its quoted passages as (level, hash), and the hashes of its own paragraphs and sentences' block."""
+    """The text without quotes, its quoted passages as (level, hash), and the hashes of its own lines, paragraphs and whole."""
     own: list[str] = []
     passages: list[tuple[int, list[str]]] = []
     for line in (text or "").split("\n"):
@@ -70,20 +68,20 @@ def parse(text: str | None) -> tuple[str, list[tuple[int, int]], list[int]]:
     return clean, [(level, _hash(q)) for level, q in quoted if len(q) >= LEAST], sorted({_hash(s) for s in said if len(s) >= LEAST})
 
 
-_PARSED = "conv_id long, turn long, role string, n long, text string, quotes array<struct<level:int,h:bigint>>, said array<bigint>"
+_PARSED = "conv_id long, turn long, role string, text string, quotes array<struct<level:int,h:bigint>>, said array<bigint>"
 
 
 def parsed(messages: DataFrame) -> DataFrame:
-    """One row per message with its own text, quotes and hashes of what it says; n: copies of the row so far unseen as 0."""
+    """One row per message with its own text, quotes and hashes of what it says."""
 
     def run(batches):
         for batch in batches:
             found = [parse(x.as_py()) for x in batch.column(3)]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), batch.column(1), batch.column(2), pa.array([0] * len(found), pa.int64()), pa.array([f[0] for f in found], pa.string()),
+                [batch.column(0), batch.column(1), batch.column(2), pa.array([f[0] for f in found], pa.string()),
                  pa.array([[{"level": a, "h": b} for a, b in f[1]] for f in found], pa.list_(pa.struct([("level", pa.int32()), ("h", pa.int64())]))),
                  pa.array([f[2] for f in found], pa.list_(pa.int64()))],
-                ["conv_id", "turn", "role", "n", "text", "quotes", "said"])
+                ["conv_id", "turn", "role", "text", "quotes", "said"])
 
     picked = messages.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
     return map_arrow(picked, run, _PARSED)
@@ -124,8 +122,7 @@ def conversations(messages: DataFrame) -> DataFrame:
     best = links(rows).groupBy("conv_id", "turn").agg(
         F.min(F.struct("level", (F.col("to_conv") != F.col("conv_id")).alias("far"), (-F.col("to_turn")).alias("late"), "to_conv")).alias("b"), F.count("*").alias("n_links"))
     at = F.floor(F.coalesce("turn", F.lit(-1)) / RANGE)
-    # ids of the rows of a conversation's range; a range holds RANGE turns, and copies of a turn are dealt out by text
-    lump = rows.select("conv_id", "turn", "role", "text").withColumn("_range", at).withColumn("_deal", F.xxhash64("role", "text"))
+    lump = rows.select("conv_id", "turn", "role", "text").withColumn("_range", at)
     turns = lump.groupBy("conv_id", "_range", "turn").agg(F.count("*").alias("c"))
     in_range = Window.partitionBy("conv_id", "_range").orderBy("turn")
     prior = F.coalesce(F.sum("c").over(in_range.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))

@@ -114,9 +114,25 @@ book AS (
 """
 
 
+_REPEATS = """
+WITH b AS (SELECT doc_id, lower(hex(encode(coalesce(text, '')))) AS x FROM documents),
+w AS (SELECT doc_id, i, md5(substr(x, (2 * i + 1)::BIGINT, 400)) AS h FROM (SELECT doc_id, x, unnest(range(0, greatest(length(x) // 2 - 199, 0))) AS i FROM b)),
+dup AS (SELECT doc_id, i FROM (SELECT doc_id, i, count(*) OVER (PARTITION BY h) AS c FROM w) WHERE c > 1),
+edge AS (SELECT doc_id, i, (coalesce(i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) > 200, true))::INT AS new FROM dup),
+run AS (SELECT doc_id, min(i) AS a, max(i) + 200 AS z FROM (SELECT doc_id, i, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS r FROM edge) GROUP BY doc_id, r),
+gap AS (SELECT doc_id, a, z, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS f FROM run),
+piece AS (
+  SELECT g.doc_id, string_agg(substr(b.x, (2 * f + 1)::BIGINT, (2 * (a - f))::BIGINT), '' ORDER BY a) AS head, max(z) AS last, sum(z - a) AS n_removed, count(*) AS n_spans
+  FROM gap g JOIN b ON b.doc_id = g.doc_id GROUP BY g.doc_id)
+SELECT b.doc_id, (length(x) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans,
+       sha256(unhex(coalesce(head, '') || substr(x, (2 * coalesce(last, 0) + 1)::BIGINT))) AS kept_sha256
+FROM b LEFT JOIN piece ON piece.doc_id = b.doc_id"""
+
+
 def oracle_sql() -> dict:
     rows = ", ".join(f"('{name}', {1 << bit})" for name, (bit, _) in rules.RULES.items())
     return {
+        "op4_suffix_dedup": _REPEATS,
         "op9_topk": """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS e FROM embeddings
            WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
