@@ -13,10 +13,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from ..functions.expr import Expr, compile_condition
+from ..functions.expr import Expr, compile_condition, evaluate
 from ..functions.resolve import TypedResolver
 from ..functions.update import Action, _changed, _nested, check_keys
-from ..types import ConditionCheckFailed
+from ..types import ConditionCheckFailed, InvalidExpression
 
 
 def _keys(keys: Sequence[str]) -> list[Column]:
@@ -62,14 +62,16 @@ def conditional(base: DataFrame, puts: DataFrame, keys: Sequence[str], condition
     present item as ``_old``. version names a column of both: expected in puts, actual in base, 0 where absent."""
     attributes = [c for c in base.columns if c not in keys]
     inner = base.withColumn("_met", compile_condition(condition, TypedResolver(base)))
-    empty = base.sparkSession.createDataFrame([tuple([None] * len(base.columns))], loose(base.schema))
-    absent = empty.select(compile_condition(condition, TypedResolver(empty)).alias("c"))
+    try:
+        absent = F.lit(evaluate(condition, {}))
+    except InvalidExpression as e:
+        absent = F.raise_error(F.lit(str(e))).cast("boolean")
     old = inner.select(*_keys(keys), "_met", F.struct(*_keys(keys), *[F.col(f"`{c}`") for c in attributes]).alias("_old"))
-    joined = puts.join(old, list(keys), "left").join(F.broadcast(absent))  # one row
-    met = F.when(F.col("_old").isNull(), F.col("c")).otherwise(F.col("_met"))
+    joined = puts.join(old, list(keys), "left")
+    met = F.when(F.col("_old").isNull(), absent).otherwise(F.col("_met"))
     if version is not None:
         met = met & (F.col(f"`{version}`") == F.coalesce(F.col(f"_old.`{version}`"), F.lit(0)))
-    return joined.withColumn("_ok", met).drop("c", "_met")
+    return joined.withColumn("_ok", met).drop("_met")
 
 
 def require(checked: DataFrame) -> DataFrame:
