@@ -1,5 +1,6 @@
 """Managed tables: writes, reads, versions, definitions, feeds, protocol and console."""
 
+import asyncio
 import json
 import random
 import threading
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from tidemark.functions import expr as E
 from tidemark.functions import update as U
 from tidemark.plans.console import Console, ParseError, parse, tokenize, value
-from tidemark.plans.protocol import Client, Dispatcher, ServerError, server
+from tidemark.plans.protocol import AsyncClient, Client, Dispatcher, ServerError, server
 from tidemark.sources.store import Database
 from tidemark.streaming import feed as feeds
 from tidemark.types import (
@@ -361,13 +362,23 @@ def test_protocol(db, tmp_path):
     assert d({"op": "update_item", "table": "v", "partition_key": "a", "updates": [{"action": "SET", "path": "x", "value": 1}]})["error"] == "InvalidUpdateAction"
     assert d({"op": "batch_get_item", "table": "v", "keys": [{"partition_key": "a"}] * 1001})["error"] == "BatchSizeLimitExceeded"
     assert d({"op": "get_item", "table": "v"})["error"] == "ParseError" and d({"op": "get_item", "table": "v", "partition_key": 3})["error"] == "InternalError"
+    asyncio.run(_by_async_client(path))
     c.close()
     listener.shutdown()
     listener.server_close()
 
 
+async def _by_async_client(path):
+    client = await AsyncClient.connect(path)
+    await client.put_item(table="v", item={"k": "z", "n": 1})
+    answers = await asyncio.gather(*[client.get_item(table="v", partition_key=k) for k in ("z", "none")])
+    assert answers == [{"ok": True, "item": {"k": "z", "n": 1}}, {"ok": True}]
+    with pytest.raises(ServerError, match="TableNotFound"):
+        await client.scan(table="nope")
+    await client.close()
+
+
 def test_console(db):
-    run = Console(db).run
     console = Console(db)
     run = console.run
     assert run("create table memories pk category string sk entry STRING") == {"ok": True, "message": "OK"}

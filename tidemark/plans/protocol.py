@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import asyncio
 import json
 import socket
 import socketserver
@@ -305,3 +306,33 @@ class Client:
         if self.file is not None:
             self.file.close()
             self.socket.close()
+
+
+class AsyncClient:
+    """The client for asyncio: ``client = await AsyncClient.connect(path)``, then ``await client.get_item(table=..., ...)``."""
+
+    def __init__(self, reader: asyncio.StreamReader, writer: asyncio.StreamWriter):
+        self.reader, self.writer, self.turn = reader, writer, asyncio.Lock()
+
+    @classmethod
+    async def connect(cls, path: str) -> AsyncClient:
+        return cls(*await asyncio.open_unix_connection(path, limit=1 << 26))
+
+    async def request(self, **request: Any) -> dict:
+        """The response; raises ServerError for an error. Requests of one client go one after the other."""
+        async with self.turn:
+            self.writer.write(json.dumps(request).encode() + b"\n")
+            await self.writer.drain()
+            response = json.loads(await self.reader.readline())
+        if "error" in response:
+            raise ServerError(response)
+        return response
+
+    def __getattr__(self, op: str):
+        if op.startswith("_") or not hasattr(Dispatcher, f"op_{op}"):
+            raise AttributeError(op)
+        return lambda **fields: self.request(op=op, **fields)
+
+    async def close(self) -> None:
+        self.writer.close()
+        await self.writer.wait_closed()
