@@ -234,10 +234,12 @@ def stars(edges: DataFrame, most: int = 40) -> DataFrame:
     before = None
     for _ in range(most):
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        # the minima are cut off first: between two plain shuffles Spark can split a hub's many rows
+        least = cut(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")))
         large = both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         kept = large.where("u <> v").distinct()
-        low = kept.groupBy("u").agg(F.min("v").alias("m"))
+        kept = cut(kept)
+        low = cut(kept.groupBy("u").agg(F.min("v").alias("m")))
         small = kept.join(low, "u")
         edges = cut(small.select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).where("u <> v").distinct())
         state = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()

@@ -401,7 +401,9 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     docs = docs.where(F.col(f"`{id_col}`").isNotNull())
     rows = stored(anchor_rows(docs, id_col, text_col), "anchors")
     keys = rows.groupBy("key").agg(F.sum("times").alias("n"), F.min("context").alias("low"), F.max("context").alias("high")).where("n > 1")
-    again = stored(rows.join(keys.select("key", (F.col("low") != F.col("high")).alias("mixed")), "key"), "again")
+    # stored first: between two plain shuffles Spark can split a common key's many rows
+    known = stored(keys.select("key", (F.col("low") != F.col("high")).alias("mixed")), "keys")
+    again = stored(rows.join(known, "key"), "again")
     whole = again.where("NOT mixed OR times > 1").select("doc", "first", "end")
     mixed = again.where("mixed").drop("mixed")
     named = F.struct("doc", "first", "near", "anchor")
@@ -409,14 +411,14 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     # contexts that repeat whole: all their rows go, and one of them stands for the rest below
     repeated = contexts.where("n > 1").select("key", "context")
     whole_mixed = mixed.join(repeated, ["key", "context"], "left_semi").select("doc", "first", "end")
-    several = contexts.groupBy("key").agg(F.count("*").alias("m"))
-    wanted = contexts.join(several, "key").select(
-        "key", F.ceil(F.col("m") / SHARD).cast("long").alias("shards"), F.col("one.doc").alias("doc"),
+    common = stored(contexts.groupBy("key").agg(F.count("*").alias("m")).where(F.col("m") > SHARD), "common")
+    wanted = contexts.join(common, "key", "left").select(
+        "key", F.coalesce(F.ceil(F.col("m") / SHARD), F.lit(1)).cast("long").alias("shards"), F.col("one.doc").alias("doc"),
         F.col("one.first").alias("first"), F.col("one.near").alias("end"), F.col("one.anchor").alias("anchor"))
     fetched = _contexts(docs, wanted, id_col, text_col)
     shard = F.pmod(F.xxhash64("doc", "first"), F.col("shards"))
     sharded = fetched.withColumn("shard", shard).repartition(parts, "key", "shard").sortWithinPartitions("key", "shard", "doc", "first")
-    dealt = several.where(F.col("m") > SHARD).agg(F.sum("m")).first()[0] or 0
+    dealt = common.agg(F.sum("m")).first()[0] or 0
     found = stored(_resolved(sharded, max(1, dealt * LENGTH // MATCHED)), "found")
     part = found.where("bucket is null").select("doc", "first", "end")
     crossing = found.where("bucket is not null").groupBy("bucket").applyInArrow(match, "doc long, first long, end long")
