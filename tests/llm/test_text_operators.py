@@ -168,7 +168,7 @@ def test_suffix_dedup_matches_brute_force(spark):
 def test_suffix_dedup_of_a_passage_in_very_many_texts(spark, monkeypatch):
     monkeypatch.setattr(suffix_dedup, "SHARD", 16)
     docs = _passages(8, 40, 220)
-    # functions are shipped to workers by value of their module's globals at import, so the shard size is set where plans are built
+    # the number of shards is set where the plan is built, on the driver
     assert sorted(map(tuple, suffix_dedup.digest(spark.createDataFrame(docs, "doc_id long, text string")).collect())) == _brute(docs)
 
 

@@ -42,13 +42,12 @@ def brute_suffix(docs, length=200):
                 gone[d][i : i + length] = True
     out = {}
     for d, t in docs:
-        b, pieces, start = t.encode(), [], 0
+        b, pieces = t.encode(), []
         edges = np.flatnonzero(np.diff(gone[d].astype(int)))
         bounds = [0, *(edges + 1).tolist(), len(b)]
         for a, z in zip(bounds, bounds[1:], strict=False):
             if a < z and not gone[d][a]:
                 pieces.append(b[a:z].decode("utf-8", "ignore"))
-        del start
         out[d] = "".join(pieces)
     return out
 

@@ -144,11 +144,9 @@ class Model:
         blocks = -(-size // BLOCK)
         owner = np.repeat(np.arange(len(texts)), blocks)
         inner = np.arange(len(owner)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
-        start = np.repeat(np.cumsum(size) - size, blocks) + inner * BLOCK
         length = np.minimum(np.repeat(size, blocks) - inner * BLOCK, BLOCK)
         matrix = np.full((len(owner), BLOCK), self.alphabet - 1, np.uint8)
         matrix[np.arange(BLOCK)[None, :] < length[:, None]] = classes  # blocks lie in text order, so row-major is text order
-        del start
         order = np.argsort(-length, kind="stable")
         columns = np.ascontiguousarray(matrix[order].T)
         live = np.searchsorted(-length[order], -np.arange(1, BLOCK + 1), side="right")
