@@ -149,6 +149,27 @@ def _jaccard(a, b):
     return len(x & y) / len(x | y)
 
 
+@pytest.mark.parametrize("most", [1024, 3])
+def test_only_links_of_eight_tenths_make_components(spark, monkeypatch, most):
+    monkeypatch.setattr(simhash, "GROUP_DOCS", most, raising=False)
+    r = random.Random(5)
+    docs = []
+    for _ in range(40):
+        base = [f"w{r.getrandbits(40)}" for _ in range(100)]
+        for n in (0, 1, 2, 3, 5, 6, 7, 8):  # each changed word costs five shingles of 96
+            docs.append([f"x{r.getrandbits(40)}" if i < 10 * n and i % 10 == 5 else w for i, w in enumerate(base)])
+    label = list(range(len(docs)))
+    for i in range(len(docs)):
+        for j in range(8 * (i // 8), i):
+            if _jaccard(docs[i], docs[j]) >= 0.8:
+                low, high = sorted((label[i], label[j]))
+                label = [low if x == high else x for x in label]
+    assert 40 < len(set(label)) < len(docs)
+    rows = [(i, " ".join(d)) for i, d in enumerate(docs)]
+    got = {x.doc_id: x.component_id for x in simhash.similar(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [got[i] for i in range(len(docs))] == label
+
+
 def test_simhash_on_odd_rows(spark):
     rows = [(1, "a b c d e"), (1, "a b c d e"), (2, "a b c d e"), (None, "a b c d e"), (None, "alone in here it is"), (3, None), (4, "")]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("fp", F.lit("clash")).withColumn("rep", F.lit(1)).withColumn("_gone", F.lit(2))

@@ -14,8 +14,10 @@ at most one, so each block is a metric space searched with radius one:
 Shards return a spanning forest of their links, never all pairs, and linked fingerprints are merged into components
 by alternating large and small stars over DataFrames.
 
-``similar`` serves pipelines, where near copies count from a similarity of 0.8 on: beside the 64-bit links it links
-256-bit fingerprints of five-word shingle sets, found the same way over 16 blocks.
+``similar`` serves pipelines, where two documents are near copies if their sets of five-word shingles have a Jaccard
+similarity of 0.8 or more. Fingerprints only propose there: links of 64 bits, and of 256-bit fingerprints of the
+shingle sets found the same way over 28 blocks, form candidate groups, and within each group the hashed sets
+themselves are compared. Only links of 0.8 or more make components.
 
 Defined results: null and empty texts share fingerprint zero; texts under the shingle width have one shingle, the
 whole word sequence; equal texts always share a component; a row without an id is in none; an empty table gives an empty table; other columns are
@@ -113,10 +115,12 @@ class Metric:
 
 #: Fingerprints of 64 bits within four: of four differing bits one of three blocks has at most one, so no link is lost.
 NARROW = Metric(("fp",), tuple((0, first, width) for first, width in BLOCKS), RADIUS, LEVELS)
-#: Fingerprints of 256 bits within 50 that agree but for one bit in one of 16 blocks. Texts whose sets of five-word
-#: shingles have a Jaccard similarity of 0.8 differ in 39 bits on average (standard deviation 5.7), unrelated ones in
-#: 128; of pairs at 0.8, 97 of 100 link directly.
-WIDE = Metric(("w0", "w1", "w2", "w3"), tuple((w, 16 * i, 16) for w in range(4) for i in range(4)), 50, 2)
+#: Candidates: fingerprints of 256 bits within 64 that agree but for one bit in one of 28 overlapping blocks. Texts whose
+#: sets of five-word shingles have a Jaccard similarity of 0.8 differ in 39 bits on average (standard deviation 5.7),
+#: unrelated ones in 128; with independent bits, 0.12 of 100 pairs at 0.8 don't meet directly (simulated).
+WIDE = Metric(("w0", "w1", "w2", "w3"), tuple((w, 8 * i, 16) for w in range(4) for i in range(7)), 64, 2)
+#: A candidate group of more documents or shingles than this is dealt into chunks, and each pair of chunks is compared.
+GROUP_DOCS, GROUP_SHINGLES = 1024, 1 << 21
 
 
 def _shards(distinct: DataFrame, metric: Metric) -> DataFrame:
@@ -251,8 +255,9 @@ def stars(edges: DataFrame, most: int = 40) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
 
 
-def components(prints: DataFrame, id_col: str = "doc_id", metrics: tuple[Metric, ...] = (NARROW,)) -> DataFrame:
-    """The columns of prints that the metrics name, with ``component_id``, the smallest id reachable by any link.
+def components(prints: DataFrame, id_col: str = "doc_id", metrics: tuple[Metric, ...] = (NARROW,), carried: tuple[str, ...] = ()) -> DataFrame:
+    """The columns of prints that the metrics name, and those carried along, with ``component_id``, the smallest id
+    reachable by any link.
 
     Equal fingerprints are one node, named by their smallest id. The join back is on the fingerprint, whose hot
     values are rows of a few longs that Spark's skew join can split.
@@ -264,7 +269,7 @@ def components(prints: DataFrame, id_col: str = "doc_id", metrics: tuple[Metric,
         edges = edges.union(links(distinct, metric))
     found = stars(edges)
     named = distinct.join(found, distinct["rep"] == found["node"], "left").select(*columns, F.coalesce("component", "rep").alias("component_id"))
-    return prints.join(named, columns, "left").select(id_col, *columns, "component_id")
+    return prints.join(named, columns, "left").select(id_col, *carried, *columns, "component_id")
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -273,19 +278,132 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return components(prints).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def alike(a: int, b: int | np.ndarray, common: int | np.ndarray):
+    """Whether sets of sizes a and b with so many common members have a Jaccard similarity of 0.8 or more, exactly."""
+    return 9 * common >= 4 * (a + b)
+
+
+def set_links(sets: list[np.ndarray]) -> np.ndarray:
+    """Component labels under the links of similarity 0.8 or more between sets of distinct values; empty sets link to none.
+
+    Components grow from a set at a time; whatever has been reached is compared no more. Only sets between 0.8 and
+    1.25 times as large can link, which is a range where the sets are sorted by size.
+    """
+    label = np.arange(len(sets))
+    sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+    left = np.argsort(sizes, kind="stable")
+    left = left[sizes[left] > 0]
+    if len(left) < 2:
+        return label
+    _, ids = np.unique(np.concatenate(sets), return_inverse=True)
+    bounds = np.concatenate([[0], np.cumsum(sizes)])
+    own = [ids[a:z] for a, z in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
+    marked = np.zeros(int(ids.max()) + 1, bool)
+    queue: list[int] = []
+    gone = np.zeros(len(sets), bool)
+
+    def packed():
+        return np.concatenate([own[i] for i in left.tolist()]), np.concatenate([[0], np.cumsum(sizes[left])])
+
+    flat, at = packed()
+    for seed in left.tolist():
+        if gone[seed]:
+            continue
+        gone[seed] = True
+        queue.append(seed)
+        while queue:
+            x = queue.pop()
+            if 2 * np.count_nonzero(gone[left]) > len(left):
+                left = left[~gone[left]]
+                if not len(left):
+                    break
+                flat, at = packed()
+            n = int(sizes[x])
+            lo = np.searchsorted(sizes[left], -(-4 * n // 5))
+            hi = np.searchsorted(sizes[left], 5 * n // 4, side="right")
+            if lo >= hi:
+                continue
+            marked[own[x]] = True
+            common = np.add.reduceat(marked[flat[at[lo] : at[hi]]].astype(np.int32), at[lo:hi] - at[lo])
+            marked[own[x]] = False
+            near = left[lo:hi][alike(n, sizes[left[lo:hi]], common)]
+            near = near[~gone[near]]
+            gone[near] = True
+            label[near] = label[seed]
+            queue += near.tolist()
+        queue.clear()
+        if not len(left):
+            break
+    return label
+
+
+def _same(hashes: np.ndarray) -> bytes:
+    """128 bits that stand for a set of shingles (its sorted hashes)."""
+    return xxhash.xxh3_128_digest(hashes.astype("<u8").tobytes())
+
+
+def verified(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """Links (a, b) that connect the nodes (same, rep, size, group) of each group whose shingle sets are alike.
+
+    A group is compared in one piece, or, if large, chunk against chunk, so its sets are copied once per chunk.
+    """
+    groups = nodes.groupBy("group").agg(F.count("*").alias("n"), F.sum("size").alias("total")).where("n > 1")
+    chunks = F.ceil(F.greatest(F.col("n") / GROUP_DOCS, F.col("total") / GROUP_SHINGLES)).cast("int")
+    asked = nodes.join(groups.select("group", chunks.alias("chunks")), "group").select(
+        "group", "chunks", "rep", "same", F.expr("cast(pmod(xxhash64(same), chunks) as int)").alias("chunk"))
+    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text"))
+    found = asked.join(texts, "rep").select("group", "chunks", "chunk", "rep", "same", "text")
+
+    def sets(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            made = [np.unique(shingle_hashes(t.as_py(), 5)) for t in batch.column(5)]
+            # another text under the same id has its own node
+            right = [i for i, (h, s) in enumerate(zip(made, batch.column(4).to_pylist(), strict=True)) if _same(h) == s]
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(k).take(pa.array(right, pa.int64())) for k in range(4)), pa.array([made[i].astype("<u8").tobytes() for i in right], pa.binary())],
+                ["group", "chunks", "chunk", "rep", "hashes"])
+
+    def group_links(table: pa.Table) -> pa.Table:
+        rep = table.column("rep").to_numpy()
+        label = set_links([np.frombuffer(x.as_py(), "<u8") for x in table.column("hashes")])
+        least = np.full(len(rep), np.iinfo(np.int64).max)
+        np.minimum.at(least, label, rep)
+        low = least[label]
+        linked = low != rep
+        return pa.table({"a": pa.array(low[linked], pa.int64()), "b": pa.array(rep[linked], pa.int64())})
+
+    held = map_arrow(found, sets, "group long, chunks int, chunk int, rep long, hashes binary")
+    other = F.explode(F.expr("filter(sequence(0, chunks - 1), c -> chunks = 1 or c <> chunk)"))
+    dealt = held.withColumn("other", other).select("group", F.least("chunk", "other").alias("i"), F.greatest("chunk", "other").alias("j"), "rep", "hashes")
+    return dealt.groupBy("group", "i", "j").applyInArrow(group_links, "a long, b long").distinct()
+
+
 def similar(docs: DataFrame) -> DataFrame:
-    """doc_id and component_id of every document under both metrics: near fingerprints of 64 bits, and five-word
-    shingle sets that are alike by fingerprints of 256."""
+    """doc_id and component_id of every document, linked where the sets of five-word shingles have a Jaccard similarity
+    of 0.8 or more; texts without words are alike."""
 
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            narrow = np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64)
-            wide = np.array([wide_fingerprint(t) for t in texts], np.int64).reshape(-1, 4)
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(narrow), *(pa.array(wide[:, k]) for k in range(4))], ["doc_id", "fp", "w0", "w1", "w2", "w3"])
-
-    prints = cut(map_arrow(docs.select("doc_id", "text"), run, "doc_id long, fp long, w0 long, w1 long, w2 long, w3 long"))
-    return components(prints, metrics=(NARROW, WIDE)).select("doc_id", "component_id")
+            narrow, wide, same, size = [], [], [], []
+            for text in batch.column(1):
+                text = text.as_py()
+                hashes = np.unique(shingle_hashes(text, 5))
+                narrow.append(fingerprint(text))
+                wide.append(wide_fingerprint(text))
+                same.append(_same(hashes))
+                size.append(len(hashes))
+            wide = np.array(wide, np.int64).reshape(-1, 4)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0).cast(pa.int64()), pa.array(same, pa.binary()), pa.array(size, pa.int64()), pa.array(np.array(narrow, np.uint64).view(np.int64)), *(pa.array(wide[:, k]) for k in range(4))],
+                ["doc_id", "same", "size", "fp", "w0", "w1", "w2", "w3"])
+
+    prints = cut(map_arrow(docs.select("doc_id", "text"), run, "doc_id long, same binary, size long, fp long, w0 long, w1 long, w2 long, w3 long"))
+    proposed = components(prints, metrics=(NARROW, WIDE), carried=("same", "size"))
+    # equal sets have equal wide fingerprints and so one group
+    nodes = cut(proposed.groupBy("same").agg(F.min("doc_id").alias("rep"), F.min("size").alias("size"), F.min("component_id").alias("group")).where("rep is not null"))
+    found = stars(verified(docs, nodes))
+    named = nodes.join(found, nodes["rep"] == found["node"], "left").select("same", F.coalesce("component", "rep").alias("component_id"))
+    return prints.join(named, "same", "left").select("doc_id", "component_id")
 
 
 def keep(docs: DataFrame) -> DataFrame:
