@@ -309,6 +309,25 @@ def test_quotes_are_linked_and_removed(spark):
     assert [got[1, i].position for i in range(5)] == [0, 1, 2, 3, 4] and got[2, 7].position == 0 and got[2, 9].text == ""
 
 
+def test_short_and_partial_quotes_are_linked(spark):
+    rows = [
+        (1, 0, "user", "Sounds good."), (1, 1, "assistant", "Filler of some length."), (1, 2, "user", "> Sounds good.\nOk"),
+        (2, 0, "user", "今天很好。我们走吧。"), (2, 1, "assistant", "Another filler."), (2, 2, "user", "> 我们走吧。\nOk"),
+        (3, 0, "user", "The first sentence is here. The second one (too).\nA third goes on\nover lines. Last one."), (3, 1, "assistant", "And one more."),
+        (3, 2, "user", "> The second one (too).\nOk"), (3, 3, "user", "> A third goes on over lines.\nOk"), (3, 4, "user", "> The first sentence is here. The second one (too).\n> A third goes on\nOk"),
+    ]
+    got = {(r.conv_id, r.turn): r for r in quotes.conversations(_chat(spark, rows)).collect()}
+    for key in ((1, 2), (2, 2), (3, 2), (3, 3), (3, 4)):
+        assert (got[key].reply_to_conv, got[key].reply_to_turn, got[key].n_links) == (key[0], 0, 1)
+
+
+def test_an_original_elsewhere_counts_if_the_first_is_later_in_the_own_conversation(spark):
+    same = "exactly these words in both places"
+    rows = [(1, 0, "user", f"> {same}\nOk"), (1, 3, "user", same), (2, 5, "user", same)]
+    got = {(r.conv_id, r.turn): r for r in quotes.conversations(_chat(spark, rows)).collect()}
+    assert (got[1, 0].reply_to_conv, got[1, 0].reply_to_turn, got[1, 0].n_links) == (2, 5, 1)
+
+
 def test_an_original_is_the_latest_before(spark):
     same = "the very same answer every time"
     rows = [(1, t, "user", same if t % 400 == 0 else f"note {t}") for t in range(0, 3000, 10)] + [(1, 2995, "user", f"> {same}\nok"), (1, 401, "user", f"> {same}\nearly")]

@@ -1,8 +1,9 @@
 """Conversations rebuilt by quotation linking.
 
 A line's quote level is its leading ``>`` marks. Quoted lines of one level in a row are a passage. A passage is
-normalised (case, white space, marks) and hashed; every message's own paragraphs are hashed the same way, so a
-passage finds the message it quotes by an equi-join on the hash. A message replies to the latest earlier message it
+normalised (case, white space, marks) and hashed, however short; every message's own text is hashed the same way,
+whole, by paragraph, and by every run of lines or of sentences of a paragraph, so a passage finds the message it quotes
+by an equi-join on the hash. A message replies to the latest earlier message it
 quotes at the shallowest level; one without a linked quote replies to the message before it in its conversation.
 Quoted lines, attribution lines before them, and nothing else leave the text.
 
@@ -31,8 +32,8 @@ MARK = re.compile(r"[ \t]*((?:>[ \t]?)+)")
 ATTRIBUTION = re.compile(r"^.{0,200}\b(?:wrote|writes|said|schrieb|a écrit|escribió)\s*:\s*$", re.I)
 #: Turns counted together.
 RANGE = 1024
-#: A passage shorter than this many letters quotes nothing in particular.
-LEAST = 12
+#: What ends a sentence, with closing marks; nothing of it is left when normalised.
+SENTENCE = re.compile(r"[.!?…]+[\"')\]”’»]*\s+|[。！？]+[”’』」）]*\s*")
 
 
 def _normal(lines: list[str]) -> str:
@@ -44,8 +45,21 @@ def _hash(text: str) -> int:
     return n - (1 << 64) if n >> 63 else n
 
 
+def _runs(parts: list[str]) -> set[int]:
+    """Hashes of all runs of neighbouring parts, as of the normalised text of each run."""
+    parts, found = [p for p in map(lambda x: _normal([x]), parts) if p], set()
+    for i, part in enumerate(parts):
+        digest = xxhash.xxh64(part.encode(), 7)
+        found.add(digest.intdigest())
+        for more in parts[i + 1 :]:
+            digest.update(b" " + more.encode())
+            found.add(digest.intdigest())
+    return {n - (1 << 64) if n >> 63 else n for n in found}
+
+
 def parse(text: str | None) -> tuple[str, list[tuple[int, int]], list[int]]:
-    """The text without quotes, its quoted passages as (level, hash), and the hashes of its own lines, paragraphs and whole."""
+    """The text without quotes, its quoted passages as (level, hash), and the hashes of what it says itself:
+    the whole, and the runs of lines and of sentences of each paragraph."""
     own: list[str] = []
     passages: list[tuple[int, list[str]]] = []
     for line in (text or "").split("\n"):
@@ -64,8 +78,10 @@ def parse(text: str | None) -> tuple[str, list[tuple[int, int]], list[int]]:
             passages.append((level, [body] if body.strip() else []))
     quoted = [(level, _normal(lines)) for level, lines in passages if level and lines]
     clean = re.sub(r"\n{3,}", "\n\n", "\n".join(own)).strip()
-    said = [_normal([p]) for p in re.split(r"\n\s*\n", clean)] + [_normal([line]) for line in clean.split("\n")] + [_normal([clean])]
-    return clean, [(level, _hash(q)) for level, q in quoted if len(q) >= LEAST], sorted({_hash(s) for s in said if len(s) >= LEAST})
+    said = {_hash(whole)} if (whole := _normal([clean])) else set()
+    for paragraph in re.split(r"\n\s*\n", clean):
+        said |= _runs(paragraph.split("\n")) | _runs(SENTENCE.split(paragraph))
+    return clean, [(level, _hash(q)) for level, q in quoted if q], sorted(said)
 
 
 _PARSED = "conv_id long, turn long, role string, text string, quotes array<struct<level:int,h:bigint>>, said array<bigint>"
@@ -92,7 +108,7 @@ def links(messages: DataFrame) -> DataFrame:
 
     Only hashes that are quoted anywhere are looked for among what is said: the quotes' distinct hashes reduce the
     other side first. Originals are then reduced to the latest per hash, conversation and range of turns, plus the
-    first per hash for quotes across conversations, so a passage that everyone says doesn't multiply.
+    first two of different conversations per hash for quotes across conversations (one isn't the quoter's own), so a passage that everyone says doesn't multiply.
     """
     quotes = messages.select("conv_id", "turn", F.explode("quotes").alias("q")).select("conv_id", "turn", F.col("q.level").alias("level"), F.col("q.h").alias("h")).distinct()
     asked = quotes.select("h").distinct()
@@ -108,12 +124,14 @@ def links(messages: DataFrame) -> DataFrame:
     earlier = Window.partitionBy("h", "conv_id").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     steps = ranged.select("h", "conv_id", "_range").distinct().join(tops, ["h", "conv_id", "_range"], "left").withColumn("before", F.max("top").over(earlier)).drop("top")
     asked_at = near.where(~F.col("origin")).join(steps, ["h", "conv_id", "_range"], "left").withColumn("own", F.coalesce("inside", "before"))
-    first = said.groupBy("h").agg(F.min(F.struct("to_turn", "to_conv")).alias("first"))
+    starts = said.where("to_conv is not null").groupBy("h", "to_conv").agg(F.min("to_turn").alias("to_turn"))
+    leading = starts.withColumn("_n", F.row_number().over(Window.partitionBy("h").orderBy("to_turn", "to_conv"))).where("_n <= 2")
+    first = leading.groupBy("h").agg(*(F.min(F.when(F.col("_n") == n, F.struct("to_turn", "to_conv"))).alias(name) for n, name in ((1, "first"), (2, "second"))))
     found = asked_at.join(first, "h", "left")
     local = F.col("own").isNotNull()
-    other = F.col("first").isNotNull() & (F.col("first.to_conv") != F.col("conv_id"))
-    return found.where(local | other).select(
-        "conv_id", "turn", "level", F.when(local, F.col("conv_id")).otherwise(F.col("first.to_conv")).alias("to_conv"), F.when(local, F.col("own")).otherwise(F.col("first.to_turn")).alias("to_turn"))
+    far = F.when(F.col("first.to_conv") != F.col("conv_id"), F.col("first")).when(F.col("second.to_conv") != F.col("conv_id"), F.col("second"))
+    return found.withColumn("far", far).where(local | F.col("far").isNotNull()).select(
+        "conv_id", "turn", "level", F.when(local, F.col("conv_id")).otherwise(F.col("far.to_conv")).alias("to_conv"), F.when(local, F.col("own")).otherwise(F.col("far.to_turn")).alias("to_turn"))
 
 
 def conversations(messages: DataFrame) -> DataFrame:
