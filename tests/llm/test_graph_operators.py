@@ -263,6 +263,16 @@ def test_small_pages(page, text):
     assert html.main_text(page) == text
 
 
+def test_selected_text_outside_the_largest_element_stays():
+    long, more = "<p>Some text of the page, rather long. </p>" * 8, "<p>Other text of it, rather long too.</p>" * 2
+    want = html.main_text(long).split("\n\n") + html.main_text(more).split("\n\n")
+    assert len(want) == 10
+    for page in (f"<div class=post><div>{long}</div><div>{more}</div></div>", f"<main><article>{long}</article><article>{more}</article></main>", f"<article>{long}</article><article>{more}</article>"):
+        assert html.main_text(f"<body><nav>Menu, of the site.</nav>{page}<footer>End, of the page.</footer></body>").split("\n\n") == want
+    titled = f"<body><div class=top><h1>A title, of this page</h1></div><div class=post>{long}</div></body>"
+    assert html.main_text(titled).split("\n\n") == ["A title, of this page", *want[:8]]
+
+
 def test_articles_of_the_test_pages(spark):
     import html as entities
     import re

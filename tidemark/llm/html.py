@@ -3,9 +3,9 @@
 A page is scanned into blocks: runs of text between block-level tags, each with its root-to-leaf path of block-level
 tags. Text length and punctuation are summed per path and divided by the path's blocks; the two ratios are smoothed
 over neighbouring blocks, fused by product, weighted by what the path's tags and names say (an article more, a menu
-not at all), and thresholded. The selected paths vote for the element that holds most of the selected text; every
-block of that element which isn't boilerplate by tag, name, link share or visibility is content, so titles and short
-paragraphs stay.
+not at all), and thresholded. Every selected block is content, wherever it stands. The selected paths also vote for the
+element that holds most of the selected text; every block of that element, or of an article or main element with
+selected text, which isn't boilerplate by tag, name, link share or visibility is content too, so short paragraphs stay.
 
 Defined results: a null or empty page, or one without content, has an empty text; an unclosed tag, comment or
 script runs to the end of the page; repeated rows get equal results; an empty table gives an empty table; extra
@@ -204,23 +204,29 @@ def main_text(page: str | None) -> str:
             elements[e.number] = e
             e = e.parent
     holder = max((e for n, e in elements.items() if held[n] >= 0.75 * total and e.tag not in ("p", "li", "td", "th", "tr", "h1", "h2", "h3", "h4", "h5", "h6", "blockquote", "pre")), key=lambda e: e.number)
-    while holder.content and holder.tag not in ("article", "main"):
-        holder = holder.parent
+    holders = {holder.number}
+    for e in [holder, *(b.element for b in chosen)]:
+        while e.content and e.tag not in ("article", "main"):
+            e = e.parent
+        if e.content:
+            holders.add(e.number)
+    picked = {id(b) for b in chosen}
     inside: dict[int, bool] = {}
 
     def within(e: Element | None) -> bool:
         if e is None:
             return False
         if e.number not in inside:
-            inside[e.number] = e.number == holder.number or within(e.parent)
+            inside[e.number] = e.number in holders or within(e.parent)
         return inside[e.number]
 
     kept = []
     for b in found:
-        if b.element.boilerplate or not within(b.element):
-            continue
-        if not b.element.content and b.linked > 0.6 * len(b.text) and score[b.element.path] < THRESHOLD * top:
-            continue
+        if id(b) not in picked:
+            if b.element.boilerplate or not within(b.element):
+                continue
+            if not b.element.content and b.linked > 0.6 * len(b.text) and score[b.element.path] < THRESHOLD * top:
+                continue
         kept.append(b.text)
     return "\n\n".join(kept)
 
