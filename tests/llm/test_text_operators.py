@@ -246,6 +246,17 @@ def _check_packed(rows, texts, width=packing.WIDTH):
     assert full >= len(by_sequence) - 1 and sorted(by_sequence) == list(range(len(by_sequence)))
 
 
+def test_ids_of_texts_that_spell_an_added_token(spark):
+    from tokenizers import Tokenizer
+
+    texts = ["<|endoftext|>", "one <|endoftext|> two<|endoftext|><|endoftext|>", "<|endoftext| >", "no such token, don't", " <|endoftext|>\n\n x"]
+    want = [e.ids for e in Tokenizer.from_file(VOCABULARY).encode_batch(texts, add_special_tokens=False)]
+    encode, top = packing.encoder(VOCABULARY, P.PATTERN)
+    assert [list(encode(t)) for t in texts] == want and 50256 in want[0] and top == 50257
+    rows = packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), VOCABULARY, P.PATTERN).collect()
+    assert {r.doc_id: r.doc_tokens for r in rows} == {i: len(w) + 1 for i, w in enumerate(want)}
+
+
 def test_packing_covers_every_id_once(spark, odd, none):
     docs = odd.where("doc_id is not null").dropDuplicates(["doc_id"]).select("doc_id", "text").union(spark.read.parquet("/root/testdata/sf0.001/documents.parquet").selectExpr("doc_id + 1000", "text"))
     _check_packed(packing.pack(docs, VOCABULARY, P.PATTERN).collect(), [tuple(r) for r in docs.collect()])
