@@ -12,14 +12,15 @@ without moving every position:
 3. Contexts that share an anchor are sorted as suffixes, once to the right of the anchor and once, reversed, to its
    left, by a mergesort whose comparisons find the common extension by binary search over prefix polynomial hashes.
    Neighbours' extensions bound the windows a row can share; claimed extensions are verified byte by byte. With two
-   rows the bounds are the answer; with more, the remaining windows are matched by their hashes.
+   rows the bounds are the answer; with more, the remaining windows are matched by one 64-bit hash, not by bytes.
 4. An anchor in very many contexts (a passage in a third of all documents) is dealt out in shards of at most SHARD
    rows; windows that a shard can't decide are matched between shards by hash, at most one row per shard and window.
 
 Defined results: a null or empty text has no bytes; texts under LENGTH bytes lose nothing; repeated rows are copies
 of each other and lose all their windows; an empty table gives an empty table; documents are named by id_col, which
 must be a unique integer (a row without one takes no part and loses nothing); other columns pass through ``cleaned`` untouched. Hashes are 64 bits each; a row counts as
-a repeat by two of them (anchor and context) or by bytes.
+a repeat by two of them (anchor and context), by bytes, or, in groups of more than two rows and between shards, window
+by window by one of them alone.
 """
 
 from __future__ import annotations
