@@ -1,9 +1,9 @@
 """Exact top-k by inner product through ball trees.
 
-Vectors are dealt into shards by hashed id. A shard builds a ball tree: a node knows its centre, radius, smallest id
-and rows; no row of it can score above q . centre + |q| * radius. A query visits nodes in order of that bound and
-stops where the bound falls below its k-th best score so far; nodes whose bound only equals it are entered if they
-hold a smaller id than the k-th.
+Vectors are dealt into shards by hashed id. A shard builds a ball tree and keeps its leaves: a leaf knows its centre,
+radius, smallest id and rows; no row of it can score above q . centre + |q| * radius. The leaves are visited in order
+of the greatest bound over a block of queries, and a query skips those whose bound is below its k-th best score so
+far; leaves whose bound only equals it are entered if they hold a smaller id than the k-th.
 
 The k-th score is shared: a first pass searches each query in one shard only, and the k-th score it finds there is
 the floor with which the query enters every other shard. Queries are a stated set; they travel in blocks, all
