@@ -135,11 +135,15 @@ def test_versions_and_snapshots(db):
     db.put_item_conditional("t", {"k": "a", "v": 2}, first["version"])
     second = db.latest()
     db.delete_item("t", "a")
-    db.put_item_conditional("t", {"k": "a", "v": 3}, second)  # a deleted item has its last version
+    db.delete_item("t", "a")
+    with pytest.raises(VersionMismatch) as e:
+        db.put_item_conditional("t", {"k": "a", "v": 3}, 0)
+    assert e.value.actual == second
+    db.put_item_conditional("t", {"k": "a", "v": 3}, second)  # a deleted item has its last version, however often it was deleted
     assert db.table("t", snapshot=second).get("a") == {"k": "a", "v": 2}
     assert db.table("t", snapshot=first["version"]).get("a") == {"k": "a", "v": 1}
     db.compact("t")
-    assert db.table("t").get("a") == {"k": "a", "v": 3} and db.vacuum("t") == 4 and db.table("t").get("a") == {"k": "a", "v": 3}
+    assert db.table("t").get("a") == {"k": "a", "v": 3} and db.vacuum("t") == 5 and db.table("t").get("a") == {"k": "a", "v": 3}
     with pytest.raises(SnapshotUnavailable):
         db.table("t", snapshot=second)
 
@@ -260,6 +264,15 @@ def test_update_type_errors(doc, action):
         U.apply(doc, [action])
 
 
+def test_nulls_in_arrays_of_columns(spark):
+    rows = [["a", None], [], None, [None], ["z"], [None, "a", None]]
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(rows)], "i int, d array<string>")
+    for action in (U.Add("d", ["z"]), U.Add("d", [None, "z", None]), U.Delete("d", [None]), U.Delete("d", ["a"]), U.Delete("d", [None, "a"]), U.Delete("d", [])):
+        got = {r.i: r.d for r in U.apply_columns(df, [action]).collect()}
+        want = {i: U.apply({} if x is None else {"d": x}, [action]).get("d") for i, x in enumerate(rows)}
+        assert [got[i] for i in range(6)] == [want[i] for i in range(6)], action
+
+
 def test_writes_match_a_dictionary(db):
     db.create_table(TableSchema("t", "k", N))
     r, model = random.Random(1), {}
@@ -381,25 +394,25 @@ async def _by_async_client(path):
 def test_console(db):
     console = Console(db)
     run = console.run
-    assert run("create table memories pk category string sk entry STRING") == {"ok": True, "message": "OK"}
-    assert run("USE memories") == {"ok": True, "active_table": "memories"}
-    for line in ('PUT {"category": "rust", "entry": "ownership#moves", "n": 1}', 'PUT memories {"category": "rust", "entry": "lifetimes#basics", "tags": ["a"]}', 'PUT {"category": "rust", "entry": "ownership#borrowing"}'):
+    assert run("create table boats pk harbour string sk berth STRING") == {"ok": True, "message": "OK"}
+    assert run("USE boats") == {"ok": True, "active_table": "boats"}
+    for line in ('PUT {"harbour": "oslo", "berth": "west#12", "n": 1}', 'PUT boats {"harbour": "oslo", "berth": "east#3", "tags": ["a"]}', 'PUT {"harbour": "oslo", "berth": "west#04"}'):
         assert run(line)["ok"]
-    assert run("GET pk=rust sk=ownership#moves") == {"found": True, "item": {"category": "rust", "entry": "ownership#moves", "n": 1}}
-    assert run("GET memories pk=rust sk=none") == {"found": False}
-    assert run("LIST PREFIXES pk=rust") == {"sort_key_prefixes": ["lifetimes", "ownership"]} and run("LIST KEYS LIMIT 3") == {"partition_keys": ["rust"]}
-    assert run("UPDATE pk=rust sk=ownership#moves SET title=\"Two words\" ADD n=2 REMOVE none SET deep.x={\"y\": 1}")["ok"]
-    assert run("GET pk=rust sk=ownership#moves")["item"] == {"category": "rust", "entry": "ownership#moves", "n": 3.0, "title": "Two words", "deep": {"x": {"y": 1}}}
-    assert run("UPDATE pk=rust sk=lifetimes#basics DELETE tags=[\"a\"]")["ok"]
-    answer = run("QUERY pk=rust BEGINS_WITH ownership LIMIT 1 DESC")
-    assert answer["count"] == 1 and answer["has_more"] and answer["items"][0]["entry"] == "ownership#moves"
-    assert run("QUERY memories pk=rust SK >= m")["count"] == 2 and run("QUERY pk=rust BETWEEN a AND m")["count"] == 1 and run("SCAN LIMIT 2")["has_more"]
-    assert run("CREATE SCHEMA PREFIX rust DESCRIPTION \"a b\" ATTR n NUMBER REQUIRED ATTR t STRING VALIDATE")["ok"]
-    assert run("CREATE INDEX byn SCHEMA rust KEY n NUMBER")["ok"] and run("QUERY INDEX byn n=3")["count"] == 1
-    assert run("DESCRIBE INDEX byn")["name"] == "byn" and run("LIST INDEXES")["indexes"] and run("LIST SCHEMAS memories")["partition_schemas"][0]["description"] == "a b"
-    assert run("DESCRIBE TABLE")["partition_key"]["name"] == "category" and run("DESCRIBE SCHEMA rust")["validate"] is True
-    assert run("DROP INDEX byn")["ok"] and run("DROP SCHEMA memories rust")["ok"] and run("LIST TABLES") == {"tables": ["memories"]}
-    assert run("DELETE pk=rust sk=lifetimes#basics")["ok"] and run("DROP TABLE memories")["ok"] and "error" in run("SCAN memories") and "help" in run("HELP QUERY") and run("exit") is None
+    assert run("GET pk=oslo sk=west#12") == {"found": True, "item": {"harbour": "oslo", "berth": "west#12", "n": 1}}
+    assert run("GET boats pk=oslo sk=none") == {"found": False}
+    assert run("LIST PREFIXES pk=oslo") == {"sort_key_prefixes": ["east", "west"]} and run("LIST KEYS LIMIT 3") == {"partition_keys": ["oslo"]}
+    assert run("UPDATE pk=oslo sk=west#12 SET title=\"Two words\" ADD n=2 REMOVE none SET deep.x={\"y\": 1}")["ok"]
+    assert run("GET pk=oslo sk=west#12")["item"] == {"harbour": "oslo", "berth": "west#12", "n": 3.0, "title": "Two words", "deep": {"x": {"y": 1}}}
+    assert run("UPDATE pk=oslo sk=east#3 DELETE tags=[\"a\"]")["ok"]
+    answer = run("QUERY pk=oslo BEGINS_WITH west LIMIT 1 DESC")
+    assert answer["count"] == 1 and answer["has_more"] and answer["items"][0]["berth"] == "west#12"
+    assert run("QUERY boats pk=oslo SK >= m")["count"] == 2 and run("QUERY pk=oslo BETWEEN a AND m")["count"] == 1 and run("SCAN LIMIT 2")["has_more"]
+    assert run("CREATE SCHEMA PREFIX oslo DESCRIPTION \"a b\" ATTR n NUMBER REQUIRED ATTR t STRING VALIDATE")["ok"]
+    assert run("CREATE INDEX byn SCHEMA oslo KEY n NUMBER")["ok"] and run("QUERY INDEX byn n=3")["count"] == 1
+    assert run("DESCRIBE INDEX byn")["name"] == "byn" and run("LIST INDEXES")["indexes"] and run("LIST SCHEMAS boats")["partition_schemas"][0]["description"] == "a b"
+    assert run("DESCRIBE TABLE")["partition_key"]["name"] == "harbour" and run("DESCRIBE SCHEMA oslo")["validate"] is True
+    assert run("DROP INDEX byn")["ok"] and run("DROP SCHEMA boats oslo")["ok"] and run("LIST TABLES") == {"tables": ["boats"]}
+    assert run("DELETE pk=oslo sk=east#3")["ok"] and run("DROP TABLE boats")["ok"] and "error" in run("SCAN boats") and "help" in run("HELP QUERY") and run("exit") is None
 
 
 @pytest.mark.parametrize("line", ["", "FLY", "CREATE", "CREATE TABLE t", "CREATE TABLE t PX a S", "GET t", "GET t pk", "GET t pk=", "PUT t {", "QUERY t pk=1 SK ! 3", "QUERY t pk=1 LIMIT x", "QUERY t pk=1 BETWEEN 1 OR 2", "SCAN t 5", "UPDATE t pk=1", "UPDATE t pk=1 JUMP x", 'GET t pk="x', "LIST", "LIST THINGS", "DROP THING x", "SCAN"])

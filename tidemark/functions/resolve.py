@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import math
+import re
 from typing import Any
 
 from pyspark.sql import Column, DataFrame
@@ -222,6 +223,18 @@ def _variant_same(x: Column, wanted: Any) -> Column:
     return F.to_json(x) == F.to_json(F.parse_json(F.lit(json.dumps(wanted))))
 
 
+def variant_at(column: Column, parts: list[str]) -> Column:
+    """The variant inside a variant. Names that Spark's variant paths can't spell are looked up in a map instead."""
+    steps = "$"
+    for part in parts:
+        if re.fullmatch(r"[^'?]+", part):
+            steps += f"['{part}']"
+            continue
+        column = F.try_element_at(F.try_variant_get(column, steps, "map<string,variant>"), F.lit(part))
+        steps = "$"
+    return column if steps == "$" else F.try_variant_get(column, steps, "variant")
+
+
 class VariantResolver:
     """Paths into one VARIANT column."""
 
@@ -229,10 +242,7 @@ class VariantResolver:
         self.column = column
 
     def attribute(self, path: str) -> Value:
-        steps = "".join(f"['{part}']" for part in path.split("."))
-        if "'" in path:
-            raise ValueError("a path may not hold a quote")
-        return VariantAttribute(F.try_variant_get(F.col(self.column), f"${steps}", "variant"))
+        return VariantAttribute(variant_at(F.col(self.column), path.split(".")))
 
     def literal(self, value: Any) -> Value:
         return Literal(value)

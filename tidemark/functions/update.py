@@ -165,6 +165,11 @@ def _literal(value: Any) -> Column:
     return F.lit(value)
 
 
+def _holds(items: Column, wanted: Column) -> Column:
+    """Whether an array holds a value; a null is a value like any other."""
+    return F.exists(items, lambda y: y.eqNullSafe(wanted))
+
+
 def _changed(column: Column | None, kind: T.DataType | None, a: Action) -> Column | None:
     """The new value of an attribute; None: no change."""
     if a.op == "set":
@@ -186,7 +191,7 @@ def _changed(column: Column | None, kind: T.DataType | None, a: Action) -> Colum
         if not isinstance(kind, T.ArrayType):
             raise _mismatch(a.path, "ADD needs an array on an array")
         new = _literal(a.value).cast(kind)
-        return F.when(column.isNull(), new).otherwise(F.concat(column, F.filter(F.array_distinct(new), lambda x: ~F.array_contains(column, x))))
+        return F.when(column.isNull(), new).otherwise(F.concat(column, F.filter(F.array_distinct(new), lambda x: ~_holds(column, x))))
     if not isinstance(a.value, list):
         raise _mismatch(a.path, "DELETE takes an array")
     if column is None:
@@ -194,7 +199,7 @@ def _changed(column: Column | None, kind: T.DataType | None, a: Action) -> Colum
     if not isinstance(kind, T.ArrayType):
         raise _mismatch(a.path, "DELETE needs an array")
     gone = _literal(a.value).cast(kind)
-    left = F.filter(column, lambda x: ~F.coalesce(F.array_contains(gone, x), F.lit(False)))
+    left = F.filter(column, lambda x: ~_holds(gone, x))
     return F.when(F.size(left) > 0, left)
 
 

@@ -345,13 +345,6 @@ def ttl_query_limit(spark, sf):
     return q.filter(E.Ne(A("event_type"), "view")).to_df().select("event_id", "event_type")
 
 
-@query(f"""SELECT user_id, event_id FROM events EXCEPT SELECT user_id, event_id FROM (SELECT user_id, event_id FROM events WHERE NOT ({_ALIVE}) ORDER BY 1, 2 LIMIT 100)""")
-def sweep_expired_100(spark, sf):
-    table = events(spark, sf, ttl=True)
-    expired = table.df.where(~table.alive()).orderBy(*table.order()).limit(100)
-    return W.delete(table.df, expired, table.schema.keys).select("user_id", "event_id")
-
-
 # --- writes ---
 
 _KEYS = ["o_custkey", "o_orderkey"]
@@ -488,52 +481,15 @@ _topk("dot", "list_inner_product(embedding::DOUBLE[], q)", "DESC")
 _topk("euclidean", "list_distance(embedding::DOUBLE[], q)", "ASC")
 
 
-# --- through the protocol and the console, on a managed table ---
-
-
-def _managed(spark: SparkSession, sf: str):
-    """A managed table of the first conversations, in a folder of its own."""
-    import uuid
-
-    from ..sources.store import Database
-
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if root is None:
-        import tempfile
-
-        root = tempfile.mkdtemp(prefix="tidemark-")
-    db = Database.create(spark, f"{root}/managed-{uuid.uuid4().hex}")
-    db.create_table(TableSchema("turns", "conv_id", N, "turn", N))
-    db.bulk_put("turns", _read(spark, sf, "conversations").select("conv_id", "turn", "role", "text"))
-    return db
-
-
-@query("SELECT conv_id::DOUBLE AS conv_id, turn::DOUBLE AS turn, role FROM conversations WHERE conv_id = 5 AND turn >= 1 AND role = 'assistant'")
-def protocol_query(spark, sf):
-    from .protocol import Dispatcher
-
-    response = Dispatcher(_managed(spark, sf))({"op": "query", "table": "turns", "partition_key": 5, "sort_key_condition": {"op": "ge", "value": 1}, "filter": {"Eq": [{"Attr": "role"}, {"Literal": "assistant"}]}, "projection": ["role"]})
-    return spark.createDataFrame([(float(i["conv_id"]), float(i["turn"]), i["role"]) for i in response["items"]], "conv_id double, turn double, role string")
-
-
-@query("SELECT conv_id::DOUBLE AS conv_id, turn::DOUBLE AS turn, role FROM (SELECT * FROM conversations WHERE conv_id = 5 ORDER BY turn DESC LIMIT 3)")
-def console_query(spark, sf):
-    from .console import Console
-
-    answer = Console(_managed(spark, sf)).run("QUERY turns pk=5 LIMIT 3 DESC")
-    return spark.createDataFrame([(float(i["conv_id"]), float(i["turn"]), i["role"]) for i in answer["items"]], "conv_id double, turn double, role string")
-
-
-@query("SELECT conv_id::DOUBLE AS conv_id, turn::DOUBLE AS turn, length(text)::BIGINT AS n FROM conversations WHERE role <> 'user' AND contains(text, 'the')")
-def variant_scan_filter(spark, sf):
-    table = _managed(spark, sf).table("turns")
-    rows = table.scan().filter(E.And(E.Ne(A("role"), "user"), E.Contains(A("text"), "the"), E.Ne(A("absent.path"), 1))).to_df(ordered=False)
-    return rows.select("conv_id", "turn", F.length(F.try_variant_get("doc", "$.text", "string")).cast("long").alias("n"))
+def _all() -> None:
+    from . import managed  # noqa: F401  registers the queries over managed tables
 
 
 def queries() -> dict[str, Query]:
+    _all()
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    _all()
     return dict(_SQL)

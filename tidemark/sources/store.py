@@ -490,10 +490,11 @@ class Transaction:
             where = F.lit(True)
             for name, value in zip(schema.keys, key, strict=True):
                 where = where & (F.col(f"`{name}`") == F.lit(value))
-            rows = self.db.versions(table, self.snapshot).where(where).orderBy(F.desc("_txn"), F.desc("_seq")).limit(2).collect()
-            puts = [r for r in rows if r["_op"] == "put"]
+            # however often the item was deleted since, its version is that of its last put
+            put = F.max(F.when(F.col("_op") == "put", F.col("_txn"))).over(Window.partitionBy(*[f"`{k}`" for k in schema.keys])).alias("_put")
+            rows = self.db.versions(table, self.snapshot).where(where).select("doc", "_txn", "_seq", "_op", put).orderBy(F.desc("_txn"), F.desc("_seq")).limit(1).collect()
             live = bool(rows) and rows[0]["_op"] == "put"
-            self.known[at] = (plain(rows[0]["doc"].toPython()) if live else None, puts[0]["_txn"] if puts else 0, live)
+            self.known[at] = (plain(rows[0]["doc"].toPython()) if live else None, (rows[0]["_put"] or 0) if rows else 0, live)
         return self.known[at]
 
     def _current(self, table: str, key: tuple) -> dict | None:
