@@ -273,6 +273,36 @@ def test_selected_text_outside_the_largest_element_stays():
     assert html.main_text(titled).split("\n\n") == ["A title, of this page", *want[:8]]
 
 
+@pytest.mark.parametrize(("page", "text"), [
+    ("<p><a href=x>All of this article's text is one link, yes.</a></p>", "All of this article's text is one link, yes."),
+    ('<article><p>One, two three. Four five six, seven.</p><p class="related-work">Other work, as it is.</p><p class="related-posts">Gone, of course.</p></article>', "One, two three. Four five six, seven.\n\nOther work, as it is."),
+    ("<article><p>One sentence with <span class=ad>Buy <b>now</b>!</span> an advert in it, yes.</p></article>", "One sentence with an advert in it, yes."),
+    ("<article><p>A text, with <button>Share</button> a button. </p><article class=comment><p>Nice, really.</p></article></article>", "A text, with a button."),
+    ("<p class='it's'>Some text, here.</p>", "Some text, here."),
+])
+def test_what_is_boilerplate(page, text):
+    assert html.main_text(page) == text
+
+
+@pytest.mark.parametrize(("page", "length"), [
+    ("<div>" * 100_000 + "Deep text, very deep.", 21), ("<script " * 1_250_000, 0), ("<div>x, y. " * 30_000, 30_000 * 7 - 2), ('<a title="x ' * 100_000, None), ("<!--" * 500_000, 0), ("<script>" * 300_000, 0),
+    ("<span class=ad>" * 50_000, 0), ("<ul><li>a" * 30_000, 30_000 * 3 - 2), ("<div>" * 50_000 + "</p>" * 50_000, 0), ("<a =\"<a ='" * 100_000, None),
+])
+def test_pages_are_read_in_linear_time(page, length):
+    import time
+
+    start = time.process_time()
+    text = html.main_text(page)
+    assert time.process_time() - start < 10 and (length is None or len(text) == length)
+
+
+def test_articles_without_article_elements(spark):
+    for row in spark.read.parquet(f"{SF}/pages.parquet").select("html").collect():
+        want = html.main_text(row.html)
+        for start, end in (("<div class=post>", "</div>"), ("", "")):
+            assert html.main_text(row.html.replace("<article>", start).replace("</article>", end)) == want
+
+
 def test_articles_of_the_test_pages(spark):
     import html as entities
     import re
