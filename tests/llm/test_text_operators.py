@@ -297,3 +297,43 @@ def test_automaton_finds_longest_matches():
     size, has, counts = model.phrases(["abcabd", "zzz", "", "ab xyz"])
     assert size.tolist() == [6, 3, 0, 6] and has.tolist() == [True, True, False, True]
     assert counts[0, 0] == 1 and counts[1, 1] == 3 and counts[0, 1] > counts[0, 0]
+
+
+def _plain_phrases(text, learned):
+    """Greedy longest matches by substring search; a symbol that isn't in the learned text is two phrases."""
+    at = n = 0
+    while at < len(text):
+        end = at
+        while end < len(text) and text[at : end + 1] in learned:
+            end += 1
+        at, n = max(end, at + 1), n + (1 if end > at else 2)
+    return n
+
+
+@pytest.mark.parametrize("dense", [langid.DENSE, 0])
+@pytest.mark.parametrize("block", [langid.BLOCK, 7])
+def test_phrases_match_plain_cross_parsing(monkeypatch, dense, block):
+    monkeypatch.setattr(langid, "DENSE", dense)
+    monkeypatch.setattr(langid, "BLOCK", block)
+    r = random.Random(9)
+    spell = lambda letters, n: "".join(r.choice(letters) for _ in range(n))
+    han = [chr(0x4E00 + i) for i in range(900)]
+    samples = {"ab": ["aaa" + spell("ab ", 300)], "abc": [spell("abc", 400)], "han": ["".join(r.choice(han) for _ in range(2000))], "b": ["bbbbb"]}
+    model = langid.Model(samples)
+    texts = [spell("ab ", 500), "a" * 2000, "ab" * 900, "b" * 1234, "", "q", spell("abcq ", 700), "".join(r.choice(han) for _ in range(600)), samples["han"][0][100:900], "a ? b", "bb" + "q" * 300 + "b" * 600]
+    _, _, counts = model.phrases(texts)
+    plain = lambda t: "".join(" " if x == 0 else chr(x) for x in langid.symbols([t])[0].tolist())
+    for i, text in enumerate(texts):
+        for k, lang in enumerate(model.languages):
+            assert counts[i, k] == _plain_phrases(plain(text), plain(samples[lang][0])), (text[:20], lang)
+
+
+def test_languages_of_many_letters_are_told_apart(spark):
+    r = random.Random(4)
+    scripts = {f"l{k}": [chr(0x4E00 + 2500 * k + i) for i in range(2500)] for k in range(4)}
+    write = lambda k: "".join(r.choice(scripts[k]) for _ in range(300))
+    rows = [(i, write(k), k) for i, k in enumerate([*scripts] * 60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    sample = langid.learn(docs.where("doc_id < 160"))
+    got = {x.doc_id: x.lang_pred for x in langid.identify(docs, sample).collect()}
+    assert all(got[i] == k for i, _, k in rows)

@@ -6,8 +6,14 @@ entropy between text and language; the language with fewest phrases wins.
 
 Learning reads a bounded sample: per language the PER_LANGUAGE labelled documents of smallest hash, and of their
 text the first SYMBOLS symbols. Prediction parses whole texts. Text is reduced to lower-case letters and single
-separators; all texts of a batch are cut into blocks of BLOCK symbols (a phrase ends with its block), and one numpy
-step moves every block of every text by one symbol.
+separators. All texts of a batch are cut into blocks of BLOCK symbols, and one numpy step moves every block of every
+text by one symbol. Blocks are parsed as if a phrase began with them, then again from where the block before ended, up
+to the first symbol at which both begin a phrase: from there they are the same. Phrases thus cross blocks freely, and
+the counts are those of a parse of the whole text. Every learned letter is a symbol of its own; a language's table is
+dense over its own letters where that takes at most DENSE entries, and a hash table of its edges otherwise.
+
+The sample takes at most SYMBOLS characters of a language several times over, some 100 KB; it grows with the number of
+languages only.
 
 Defined results: a null text, or one without a letter, is ``und`` with score 0; a language without a learned letter
 isn't learned; without any learned language all are ``und``; ties go to the smaller language name; repeated rows get
@@ -24,14 +30,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .bpe import PairTable
 from .common import map_arrow, slices, utf8
 
 PER_LANGUAGE = 64
 SYMBOLS = 40_000
 BLOCK = 256
 SLICE = 1 << 21
-#: Letters beyond this many (by count, over all languages) are one unknown letter.
-LETTERS = 120
+#: Entries of a language's dense table, at most.
+DENSE = 1 << 23
 HELD_OUT = 1
 
 
@@ -73,96 +80,166 @@ def symbols(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return found[keep], np.bincount(owner[keep], minlength=len(texts)).astype(np.int64)
 
 
-def automaton(text: list[int], alphabet: int) -> np.ndarray:
-    """Suffix automaton of a class sequence as a table: state * alphabet + class -> next state * 2 + phrase ended.
+class Automaton:
+    """Suffix automaton of a sequence of classes below ``alphabet``; further classes are letters it doesn't have.
 
-    Where the automaton has no edge the phrase ends and the class starts the next one from the root. The last class
-    is padding: it stays, and ends nothing.
+    A step gives the next state * 4 + the phrases that began with the symbol: where the automaton has no edge, the
+    symbol begins a phrase at the root, state 0; a letter that it doesn't have is two, an escape and itself.
     """
-    edges: list[dict[int, int]] = [{}]
-    link, length, last = [-1], [0], 0
-    for c in text:
-        now = len(edges)
-        edges.append({})
-        length.append(length[last] + 1)
-        link.append(0)
-        at = last
-        while at >= 0 and c not in edges[at]:
-            edges[at][c] = now
-            at = link[at]
-        if at >= 0:
-            to = edges[at][c]
-            if length[at] + 1 == length[to]:
-                link[now] = to
-            else:
-                clone = len(edges)
-                edges.append(dict(edges[to]))
-                length.append(length[at] + 1)
-                link.append(link[to])
-                while at >= 0 and edges[at].get(c) == to:
-                    edges[at][c] = clone
-                    at = link[at]
-                link[to] = link[now] = clone
-        last = now
-    root = np.zeros(alphabet, np.int32)
-    for c, to in edges[0].items():
-        root[c] = to
-    table = np.tile(root * 2 + 1, (len(edges), 1))
-    for c in range(alphabet):
-        if c not in edges[0]:
-            table[:, c] = 1  # a symbol never seen is a phrase of its own
-    for state, out in enumerate(edges):
-        for c, to in out.items():
-            table[state, c] = to * 2
-    table[:, alphabet - 1] = np.arange(len(edges)) * 2
-    return table.astype(np.int32).ravel()
+
+    def __init__(self, text: list[int], alphabet: int):
+        edges: list[dict[int, int]] = [{}]
+        link, length, last = [-1], [0], 0
+        for c in text:
+            now = len(edges)
+            edges.append({})
+            length.append(length[last] + 1)
+            link.append(0)
+            at = last
+            while at >= 0 and c not in edges[at]:
+                edges[at][c] = now
+                at = link[at]
+            if at >= 0:
+                to = edges[at][c]
+                if length[at] + 1 == length[to]:
+                    link[now] = to
+                else:
+                    clone = len(edges)
+                    edges.append(dict(edges[to]))
+                    length.append(length[at] + 1)
+                    link.append(link[to])
+                    while at >= 0 and edges[at].get(c) == to:
+                        edges[at][c] = clone
+                        at = link[at]
+                    link[to] = link[now] = clone
+            last = now
+        self.width = alphabet + 1
+        self.root = np.full(self.width, 2, np.int32)
+        for c, to in edges[0].items():
+            self.root[c] = to * 4 + 1
+        owner = np.repeat(np.arange(len(edges)), [len(e) for e in edges])
+        cls = np.fromiter((c for e in edges for c in e), np.int64, len(owner))
+        to = np.fromiter((t for e in edges for t in e.values()), np.int64, len(owner))
+        inner = owner > 0
+        owner, cls, to = owner[inner], cls[inner], to[inner]
+        self.table = self.pairs = None
+        if len(edges) * self.width <= DENSE:
+            table = np.tile(self.root, (len(edges), 1))
+            table[owner, cls] = to * 4
+            self.table = table.ravel()
+            self.cells = memoryview(self.table)
+        else:
+            self.pairs = PairTable(owner.astype(np.uint64) << np.uint64(32) | cls.astype(np.uint64), to.astype(np.int32))
+            self.edges = edges
+
+    def step(self, state: np.ndarray, cls: np.ndarray) -> np.ndarray:
+        if self.table is not None:
+            return self.table[state * self.width + cls]
+        to = self.pairs(state, cls)
+        return np.where(to >= 0, to * 4, self.root[cls])
+
+    def one(self, state: int, cls: int) -> int:
+        if self.table is not None:
+            return self.cells[state * self.width + cls]
+        to = self.edges[state].get(cls, -1) if state else -1
+        return to * 4 if to >= 0 else int(self.root[cls])
+
+
+class Blocks:
+    """Texts of classes cut into blocks, longest first: columns[t, k] is symbol t of block order[k]."""
+
+    def __init__(self, classes: np.ndarray, size: np.ndarray):
+        blocks = -(-size // BLOCK)
+        self.texts = len(size)
+        self.owner = np.repeat(np.arange(len(size)), blocks)
+        n = len(self.owner)
+        self.first = np.repeat(np.cumsum(blocks) - blocks, blocks) == np.arange(n)  # whether a text begins with the block
+        inner = np.arange(n) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+        length = np.minimum(np.repeat(size, blocks) - inner * BLOCK, BLOCK)
+        matrix = np.zeros((n, BLOCK), classes.dtype)
+        matrix[np.arange(BLOCK)[None, :] < length[:, None]] = classes  # blocks lie in text order, so row-major is text order
+        self.order = np.argsort(-length, kind="stable")
+        self.place = np.empty(n, np.int64)
+        self.place[self.order] = np.arange(n)
+        self.length = length[self.order]
+        self.columns = np.ascontiguousarray(matrix[self.order].T)
+        self.live = np.searchsorted(-self.length, -np.arange(1, BLOCK + 1), side="right").tolist()
+
+    def phrases(self, automaton: Automaton, local: np.ndarray) -> np.ndarray:
+        """Phrases of each text."""
+        n = len(self.order)
+        state, count = np.zeros(n, np.int64), np.zeros(n, np.int64)
+        began = np.zeros((BLOCK, n), np.int8)  # phrases that begin with a symbol
+        for t, k in enumerate(self.live):
+            if not k:
+                break
+            step = automaton.step(state[:k], local[self.columns[t, :k]])
+            began[t, :k] = step & 3
+            count[:k] += step & 3
+            state[:k] = step >> 2
+        # again from the state in which the block before ended
+        later = np.flatnonzero(~self.first)
+        entry, at = state[self.place[later - 1]], self.place[later]
+        at, entry = at[entry != 0], entry[entry != 0]
+        leaves = np.full(n, -1, np.int64)  # the state in which a block ends, where it isn't the one found first
+        for t in range(BLOCK):
+            if not len(at):
+                break
+            step = automaton.step(entry, local[self.columns[t, at]])
+            new, old = step & 3, began[t, at]
+            count[at] += new - old
+            entry, met = step >> 2, (new > 0) & (old > 0)
+            ends = ~met & (self.length[at] == t + 1) & (entry != state[at])
+            leaves[at[ends]] = entry[ends]
+            on = ~met & (self.length[at] > t + 1)
+            at, entry = at[on], entry[on]
+        # what still differs at the end of its block goes on, symbol by symbol
+        done = 0
+        for b in np.sort(self.order[leaves >= 0]).tolist():
+            while b >= done and leaves[self.place[b]] >= 0 and b + 1 < n and not self.first[b + 1]:
+                now, b = int(leaves[self.place[b]]), b + 1
+                k = self.place[b]
+                m = int(self.length[k])
+                symbols_, old = local[self.columns[:m, k]].tolist(), began[:m, k].tolist()
+                total, same = 0, False
+                for t in range(m):
+                    step = automaton.one(now, symbols_[t])
+                    total, now = total + (step & 3), step >> 2
+                    if step & 3 and old[t]:
+                        total, same = total + sum(old[t + 1 :]), True
+                        break
+                count[k] = total
+                leaves[k] = -1 if same or now == state[k] else now
+                if leaves[k] < 0:
+                    done = b + 1
+        return np.bincount(self.owner[self.order], weights=count, minlength=self.texts).astype(np.int64)
 
 
 class Model:
-    """Automata of the learned languages over one alphabet."""
+    """Automata of the learned languages."""
 
     def __init__(self, samples: dict[str, list[str]]):
         parts = {lang: symbols(texts)[0][:SYMBOLS] for lang, texts in sorted(samples.items())}
         parts = {lang: x for lang, x in parts.items() if (x != 0).any()}
         self.languages = list(parts)
-        everything = np.concatenate(list(parts.values())) if parts else np.zeros(0, np.uint32)
-        points, count = np.unique(everything[everything != 0], return_counts=True)
-        chosen = points[np.lexsort((points, -count))][:LETTERS]
-        self.classes = {int(p): i + 1 for i, p in enumerate(chosen.tolist())}  # 0: separator
-        self.unknown = len(self.classes) + 1
-        self.alphabet = self.unknown + 2
-        self.lookup = np.full(0x110000, self.unknown, np.uint8)
-        self.lookup[0] = 0
-        for p, c in self.classes.items():
-            self.lookup[p] = c
-        self.tables = [automaton(self.lookup[x].tolist(), self.alphabet) for x in parts.values()]
+        points = np.unique(np.concatenate([np.zeros(1, np.uint32), *parts.values()]))  # the separator is class 0
+        self.lookup = np.full(0x110000, len(points), np.uint16 if len(points) < 65535 else np.int32)  # the last: never seen
+        self.lookup[points] = np.arange(len(points))
+        self.automata, self.local = [], []
+        for x in parts.values():
+            own, classes = np.unique(self.lookup[x], return_inverse=True)
+            local = np.full(len(points) + 1, len(own), np.int64)
+            local[own] = np.arange(len(own))
+            self.local.append(local)
+            self.automata.append(Automaton(classes.tolist(), len(own)))
 
     def phrases(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Symbols of each text, whether it has a letter, and phrases by text and language."""
         found, size = symbols(texts)
-        classes = self.lookup[found]
-        blocks = -(-size // BLOCK)
-        owner = np.repeat(np.arange(len(texts)), blocks)
-        inner = np.arange(len(owner)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
-        length = np.minimum(np.repeat(size, blocks) - inner * BLOCK, BLOCK)
-        matrix = np.full((len(owner), BLOCK), self.alphabet - 1, np.uint8)
-        matrix[np.arange(BLOCK)[None, :] < length[:, None]] = classes  # blocks lie in text order, so row-major is text order
-        order = np.argsort(-length, kind="stable")
-        columns = np.ascontiguousarray(matrix[order].T)
-        live = np.searchsorted(-length[order], -np.arange(1, BLOCK + 1), side="right")
+        cut = Blocks(self.lookup[found], size)
         counts = np.zeros((len(texts), len(self.languages)), np.int64)
-        for k, table in enumerate(self.tables):
-            state, ended = np.zeros(len(owner), np.int32), np.ones(len(owner), np.int64)
-            for t in range(BLOCK):
-                n = int(live[t])
-                if not n:
-                    break
-                step = table[state[:n] * self.alphabet + columns[t, :n]]
-                ended[:n] += step & 1
-                state[:n] = step >> 1
-            back = np.empty_like(ended)
-            back[order] = ended
-            counts[:, k] = np.bincount(owner, weights=back, minlength=len(texts)).astype(np.int64)
+        for k, (automaton, local) in enumerate(zip(self.automata, self.local, strict=True)):
+            counts[:, k] = cut.phrases(automaton, local)
         has = np.bincount(np.repeat(np.arange(len(texts)), size)[found != 0], minlength=len(texts)) > 0
         return size, has, counts
 

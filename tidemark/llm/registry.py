@@ -48,7 +48,8 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     sample = langid.learn(docs.where(langid.fold() != langid.HELD_OUT))
     found = langid.identify(docs, sample)
-    return found.select(F.col("doc_id").cast("long").alias("doc_id"), (langid.fold() == langid.HELD_OUT).alias("held_out"), "lang_pred", "score")
+    held_out = F.coalesce(langid.fold() == langid.HELD_OUT, F.lit(False))  # a row without an id has no such remainder, and is not learned from
+    return found.select(F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held_out"), "lang_pred", "score")
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
