@@ -216,7 +216,6 @@ def _library(texts):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(VOCABULARY)
-    t.encode_special_tokens = True
     return [[*e.ids, 0] for e in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
 
 
@@ -257,12 +256,18 @@ def test_ids_of_texts_that_spell_an_added_token(spark):
     assert {r.doc_id: r.doc_tokens for r in rows} == {i: len(w) + 1 for i, w in enumerate(want)}
 
 
-def test_packing_covers_every_id_once(spark, odd, none):
+def test_packing_covers_every_id_once(spark, odd, none, monkeypatch):
     docs = odd.where("doc_id is not null").dropDuplicates(["doc_id"]).select("doc_id", "text").union(spark.read.parquet("/root/testdata/sf0.001/documents.parquet").selectExpr("doc_id + 1000", "text"))
     _check_packed(packing.pack(docs, VOCABULARY, P.PATTERN).collect(), [tuple(r) for r in docs.collect()])
     assert packing.pack(none, VOCABULARY, P.PATTERN).count() == 0
+    spelled = spark.createDataFrame([(1, "a <|endoftext|> b"), (2, "<|endoftext|>" * 700)], "doc_id long, text string")
+    _check_packed(packing.pack(spelled, VOCABULARY, P.PATTERN).collect(), [tuple(r) for r in spelled.collect()])
+    nameless = packing.pack(spelled.selectExpr("cast(null as long) as doc_id", "text"), VOCABULARY, P.PATTERN).collect()
+    assert sum(r.length for r in nameless) == 706 and {r.doc_id for r in nameless} == {None}
     alike = spark.createDataFrame([(i, "one text for all of them") for i in range(500)], "doc_id long, text string")
     _check_packed(packing.pack(alike, VOCABULARY, P.PATTERN).collect(), [tuple(r) for r in alike.collect()])
+    monkeypatch.setattr(packing, "RANGE", 50)  # more ranges than partitions, and than documents
+    _check_packed(packing.pack(docs, VOCABULARY, P.PATTERN).collect(), [tuple(r) for r in docs.collect()])
     twice = packing.pack(alike.limit(1).union(alike.limit(1)), VOCABULARY, P.PATTERN).collect()
     assert sum(r.length for r in twice) == 2 * twice[0].doc_tokens
 

@@ -57,7 +57,6 @@ def check_packed(rows, texts, width=1024):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     ids = {d: [*e.ids, 0] for (d, _), e in zip(texts, t.encode_batch([x or "" for _, x in texts], add_special_tokens=False), strict=True)}
     at, sequences = {d: 0 for d in ids}, {}
     for r in sorted(rows, key=lambda r: (r.doc_id, r.start)):

@@ -23,9 +23,11 @@ from pyspark.sql import functions as F
 from .common import map_arrow, slices, stored, utf8
 
 WIDTH = 1024
-DIMENSIONS, BITS = 4, 10
+DIMENSIONS, BITS = 4, 8
 BUCKETS = 512
 SLICE = 1 << 21
+#: Ids of a key range, about; bits of a document's own hash that follow the key's 4 * 8 in the order, which is exact as a double.
+RANGE, SPREAD = 1 << 24, 20
 
 
 def byte_ranks(path: str) -> dict[bytes, int]:
@@ -147,32 +149,37 @@ def tokenized(docs: DataFrame, path: str, pattern: str, end_id: int = 0) -> Data
 def pack(docs: DataFrame, path: str, pattern: str, width: int = WIDTH, end_id: int = 0) -> DataFrame:
     """The pieces of all documents: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids.
 
-    Key ranges come from approximate quantiles of the key alone; their sizes, one row per range, are the only data
-    that reach the driver. Ranges are small and many, so a common key only lengthens one of them by its copies.
+    Key ranges come from approximate quantiles of the order, as many as it takes for RANGE ids each; their sizes, one
+    row per range, are the only data that reach the driver. The key alone fills half of the order, a hash of the id
+    the rest, so the copies of a common text are spread over ranges too. Each range goes to the partition that its
+    place among all ids gives it, so partitions hold neighbouring ranges and about equally many ids.
     """
     written = stored(tokenized(docs, path, pattern, end_id), "tokenized")
     spark = docs.sparkSession
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    spread = F.xxhash64("doc_id").bitwiseAND(F.lit((1 << 12) - 1))
-    place = written.withColumn("_order", F.col("key") * (1 << 12) + spread)  # copies of one text share a key; their ids deal them out
-    wanted = min(4096, 8 * parts)
+    spread = F.xxhash64("doc_id").bitwiseAND(F.lit((1 << SPREAD) - 1))
+    place = written.withColumn("_order", F.col("key") * (1 << SPREAD) + spread)  # copies of one text share a key; their ids deal them out
+    total = written.agg(F.sum("doc_tokens")).first()[0] or 0
+    wanted = max(8 * parts, -(-total // RANGE))
     cuts = place.select("_order").approxQuantile("_order", [i / wanted for i in range(1, wanted)], 1 / (4 * wanted)) if wanted > 1 else []
     bounds = np.unique(np.array(cuts, np.float64)).astype(np.int64)
 
-    def ranges(batches):
+    def ranges(batches, target: np.ndarray | None):
         for batch in batches:
             at = np.searchsorted(bounds, batch.column(batch.num_columns - 1).to_numpy(), side="right")
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(at, pa.int32())], [*batch.schema.names, "_range"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(at, pa.int32())] + ([] if target is None else [pa.array(target[at])]), [*batch.schema.names, "_range"] + ([] if target is None else ["_part"]))
 
-    def ranged(*columns: str) -> DataFrame:
+    def ranged(*columns: str, target: np.ndarray | None = None) -> DataFrame:
         picked = place.select(*columns, "_order")
-        return map_arrow(picked, ranges, ", ".join(f"{n} {t}" for n, t in [*picked.dtypes, ("_range", "int")]))
+        return map_arrow(picked, partial(ranges, target=target), ", ".join(f"{n} {t}" for n, t in [*picked.dtypes, ("_range", "int")] + ([] if target is None else [("_part", "int")])))
 
     sizes = ranged("doc_tokens").groupBy("_range").agg(F.sum("doc_tokens").alias("n")).collect()
     count = np.zeros(len(bounds) + 1, np.int64)
     for row in sizes:
         count[row["_range"]] = row["n"]
-    base = (np.cumsum(count) - count).tolist()
+    base = np.cumsum(count) - count
+    target = np.minimum(base * parts // max(total, 1), parts - 1).astype(np.int32)
+    base = base.tolist()
     four = top_id(path) >= 65536
 
     def run(batches):
@@ -198,7 +205,7 @@ def pack(docs: DataFrame, path: str, pattern: str, width: int = WIDTH, end_id: i
                     out, held = {k: [] for k in out}, 0
             yield _pieces(out)
 
-    dealt = ranged("doc_id", "doc_tokens", "ids").repartition(parts, "_range").sortWithinPartitions("_range", "_order", "doc_id", "ids")
+    dealt = ranged("doc_id", "doc_tokens", "ids", target=target).repartitionById(parts, F.col("_part")).sortWithinPartitions("_range", "_order", "doc_id", "ids")
     schema = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, ids binary"
     return map_arrow(dealt.select("_range", "doc_id", "doc_tokens", "ids"), run, schema)
 
