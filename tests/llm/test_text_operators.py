@@ -196,6 +196,34 @@ def test_suffixes_are_sorted():
     assert all(raw[start[i] : start[i] + best[i]] == raw[start[mate[i]] : start[mate[i]] + best[i]] for i in range(500))
 
 
+def test_rows_that_share_an_id_or_have_none(spark):
+    r = random.Random(11)
+    noise = lambda n: "".join(r.choice("abcdefghij klm") for _ in range(n))
+    shared = noise(300)
+    rows = [(1, noise(500)), (1, noise(80) + shared + noise(50)), (2, shared), (None, "x" + shared), (None, noise(400)), (None, None), (3, noise(250)), (3, noise(250))]
+    got = suffix_dedup.digest(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    want = [(rows[i][0], *x[1:]) for i, *x in [(x[0], *x) for x in _brute([(i, t) for i, (_, t) in enumerate(rows)])]]
+    key = lambda x: (x[0] is None, *[y or 0 for y in x])
+    assert sorted(map(tuple, got), key=key) == sorted(want, key=key)
+    clean = suffix_dedup.cleaned(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(x.text or "" for x in clean.where("doc_id is null").collect()) == sorted(["", "x", rows[4][1]])
+
+
+def test_windows_of_one_hash_are_told_apart_by_their_bytes():
+    r = random.Random(3)
+    one, two = ("".join(r.choice("abcd") for _ in range(260)) for _ in range(2))
+    data = np.frombuffer((one + two + one + two[:210] + "!" + two[211:]).encode(), np.uint8)
+    start = np.concatenate([np.arange(61) + k for k in (0, 260, 520, 780)])
+    real = np.array([hash(data[a : a + suffix_dedup.LENGTH].tobytes()) & 0xFFFFFFFF for a in start], np.uint64)
+    for window in (real, np.zeros(len(start), np.uint64), real % np.uint64(7), real % np.uint64(2)):  # the later ones collide
+        order, new = suffix_dedup.alike(data, start, window)
+        group = np.empty(len(start), np.int64)
+        group[order] = np.cumsum(new)
+        texts = [data[a : a + suffix_dedup.LENGTH].tobytes() for a in start]
+        for i in range(0, len(start), 7):
+            assert [group[i] == group[j] for j in range(len(start))] == [texts[i] == t for t in texts]
+
+
 def test_cleaned_texts(spark, odd, none):
     clean = suffix_dedup.cleaned(odd.dropDuplicates(["doc_id"]))
     assert clean.columns == odd.columns

@@ -12,15 +12,18 @@ without moving every position:
 3. Contexts that share an anchor are sorted as suffixes, once to the right of the anchor and once, reversed, to its
    left, by a mergesort whose comparisons find the common extension by binary search over prefix polynomial hashes.
    Neighbours' extensions bound the windows a row can share; claimed extensions are verified byte by byte. With two
-   rows the bounds are the answer; with more, the remaining windows are matched by one 64-bit hash, not by bytes.
+   rows the bounds are the answer; with more, the remaining windows are matched by their hash, and the bytes of every
+   matched window are compared with those of the first one of its hash.
 4. An anchor in very many contexts (a passage in a third of all documents) is dealt out in shards of at most SHARD
-   rows; windows that a shard can't decide are matched between shards by hash, at most one row per shard and window.
+   rows; windows that a shard can't decide are matched between shards, at most one row per shard and window.
+
+Where the bytes are not at hand (whole contexts, windows of different shards) two rows match if two independent 64-bit
+hashes agree, a polynomial one and XXH64 of the bytes.
 
 Defined results: a null or empty text has no bytes; texts under LENGTH bytes lose nothing; repeated rows are copies
-of each other and lose all their windows; an empty table gives an empty table; documents are named by id_col, which
-must be a unique integer (a row without one takes no part and loses nothing); other columns pass through ``cleaned`` untouched. Hashes are 64 bits each; a row counts as
-a repeat by two of them (anchor and context), by bytes, or, in groups of more than two rows and between shards, window
-by window by one of them alone.
+of each other and lose all their windows; an empty table gives an empty table; rows that share an id, or have none, are
+documents of their own like any others; other columns pass through ``cleaned`` untouched. A document's wanted contexts
+are gathered in one row, about one for every 85 bytes of its own text.
 """
 
 from __future__ import annotations
@@ -30,6 +33,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -128,13 +132,15 @@ def _rows(texts: list[tuple[int, int, np.ndarray]], out: list) -> None:
     shift = (np.array([s for _, s, _ in texts], np.int64) - (stop - size))[owner]
     prefixes = Prefixes(data)
     key = _mix(prefixes.hash(at, at + K))
-    context = _mix(prefixes.hash(first, last + LENGTH) + (last - first).astype(np.uint64) * _U(0x9E3779B97F4A7C15))
+    raw, digest = data.tobytes(), xxhash.xxh64_intdigest
+    context = np.array([digest(raw[a:z], 11) for a, z in zip(first.tolist(), (last + LENGTH).tolist(), strict=True)], np.uint64)
+    check = _mix(prefixes.hash(first, last + LENGTH) + (last - first).astype(np.uint64) * _U(0x9E3779B97F4A7C15))
     # a run of equal neighbouring rows (periodic text) is one row that repeats itself
-    new = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (context[1:] != context[:-1]) | (owner[1:] != owner[:-1])]))
+    new = np.flatnonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (context[1:] != context[:-1]) | (check[1:] != check[:-1]) | (owner[1:] != owner[:-1])]))
     count = np.diff(np.concatenate([new, [len(first)]]))
     end = last[np.concatenate([new[1:] - 1, [len(first) - 1]])] + LENGTH
     move = shift[new]
-    out.append((key[new].view(np.int64), context[new].view(np.int64), doc[new], first[new] + move, end + move, last[new] + LENGTH + move, at[new] + move, count))
+    out.append((key[new].view(np.int64), context[new].view(np.int64), check[new].view(np.int64), doc[new], first[new] + move, end + move, last[new] + LENGTH + move, at[new] + move, count))
 
 
 def _segments(size: int) -> Iterator[tuple[int, int]]:
@@ -143,8 +149,8 @@ def _segments(size: int) -> Iterator[tuple[int, int]]:
         yield start, min(size, start + SEGMENT + LENGTH - 1)
 
 
-#: first and end: the whole run; near: the end of its first row's own context.
-_ROWS = "key long, context long, doc long, first long, end long, near long, anchor long, times long"
+#: context and check: two hashes of the context's bytes; first and end: the whole run; near: the end of its first row's own context.
+_ROWS = "key long, context long, check long, doc long, first long, end long, near long, anchor long, times long"
 
 
 def anchor_rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -273,11 +279,47 @@ class Suffixes:
 _FOUND = "doc long, first long, end long, bucket long, windows binary"
 
 
+def differing(data: np.ndarray, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Whether the windows at x and y differ in a byte. Where both stand one byte after the pair before them only the
+    last byte is new, and the pair is taken to differ if the pair before it does."""
+    if not len(x):
+        return np.zeros(0, bool)
+    head = np.concatenate([[True], (x[1:] != x[:-1] + 1) | (y[1:] != y[:-1] + 1)])
+    bad = data[x + LENGTH - 1] != data[y + LENGTH - 1]
+    at, column = np.flatnonzero(head), np.arange(LENGTH)
+    for i in range(0, len(at), 4096):
+        some = at[i : i + 4096]
+        bad[some] = (data[x[some][:, None] + column] != data[y[some][:, None] + column]).any(axis=1)
+    run = np.cumsum(head) - 1
+    return np.bincount(run, weights=bad)[run] > 0
+
+
+def alike(data: np.ndarray, start: np.ndarray, window: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order in which equal windows stand together, and where a new one begins. Windows are given by ascending start
+    with their hashes; the bytes of each are compared with the first of its hash, and if any differ, the windows of
+    that hash are told apart by their bytes."""
+    order = np.argsort(window, kind="stable")
+    ordered = window[order]
+    new = np.concatenate([[True], ordered[1:] != ordered[:-1]])
+    begin = np.flatnonzero(new)
+    first = np.empty(len(order), np.int64)
+    first[order] = np.repeat(order[begin], np.diff(np.concatenate([begin, [len(order)]])))
+    pairs = np.flatnonzero(first != np.arange(len(order)))
+    bad = differing(data, start[pairs], start[first[pairs]])
+    if not bad.any():
+        return order, new
+    kind, names = np.zeros(len(window), np.int64), {}
+    for i in np.flatnonzero(np.isin(window, window[pairs[bad]])).tolist():
+        kind[i] = names.setdefault(data[start[i] : start[i] + LENGTH].tobytes(), len(names) + 1)
+    order = np.lexsort((kind, window))
+    return order, np.concatenate([[True], (window[order][1:] != window[order][:-1]) | (kind[order][1:] != kind[order][:-1])])
+
+
 def resolve(doc: np.ndarray, first: np.ndarray, anchor: np.ndarray, group: np.ndarray, shared: np.ndarray, blobs: list[bytes]) -> tuple[list[np.ndarray], np.ndarray]:
     """Removed spans (document, first, end) of contexts ordered by group, and what stays open.
 
     For groups dealt over several shards (shared) each distinct window is also returned once: its hash, its number
-    here, and document and place of one such.
+    here, document and place of one such, and a second hash.
     """
     size = np.array([len(b) for b in blobs], np.int64)
     begin = np.cumsum(size) - size
@@ -292,7 +334,7 @@ def resolve(doc: np.ndarray, first: np.ndarray, anchor: np.ndarray, group: np.nd
     lo = np.maximum(LENGTH - more, place + LENGTH - end)  # windows start this many bytes before the anchor, at least
     hi = np.minimum(less, place - begin)
     some = (right_mate >= 0) & (hi >= lo)
-    windows = np.zeros((0, 4), np.int64)
+    windows = np.zeros((0, 5), np.int64)
     alone = some & (right.size == 2) & ~shared
     spans = [(doc[alone], anchor[alone] - hi[alone], anchor[alone] - lo[alone] + LENGTH)]
     # rows with more company: the windows in their bounds, matched by hash
@@ -302,12 +344,10 @@ def resolve(doc: np.ndarray, first: np.ndarray, anchor: np.ndarray, group: np.nd
         highest = np.where(shared[many], place[many] - begin[many], hi[many])
         number = np.maximum(highest - lowest + 1, 0)
         owner = np.repeat(many, number)
-        back = np.arange(int(number.sum())) - np.repeat(np.cumsum(number) - number, number) + np.repeat(lowest, number)
-        start = place[owner] - back
+        back = np.repeat(highest, number) - (np.arange(int(number.sum())) - np.repeat(np.cumsum(number) - number, number))
+        start = place[owner] - back  # ascending
         window = _mix(forward.hash(start, start + LENGTH) ^ _U(0x5851F42D4C957F2D))
-        order = np.argsort(window, kind="stable")
-        ordered = window[order]
-        new = np.concatenate([[True], ordered[1:] != ordered[:-1]])
+        order, new = alike(data, start, window)
         times = np.diff(np.concatenate([np.flatnonzero(new), [len(order)]]))
         again = np.empty(len(order), bool)
         again[order] = np.repeat(times, times) > 1
@@ -322,15 +362,17 @@ def resolve(doc: np.ndarray, first: np.ndarray, anchor: np.ndarray, group: np.nd
         one = order[told]
         wanted = shared[owner[one]]
         one, times = one[wanted], times[wanted]
-        windows = np.stack([window[one].view(np.int64), times, doc[owner[one]], anchor[owner[one]] - back[one]], axis=1)
+        raw, digest = data.tobytes(), xxhash.xxh64_intdigest
+        other = np.array([digest(raw[a : a + LENGTH], 13) for a in start[one].tolist()], np.uint64)
+        windows = np.stack([window[one].view(np.int64), times, doc[owner[one]], anchor[owner[one]] - back[one], other.view(np.int64)], axis=1)
     return [np.concatenate(x) for x in zip(*spans, strict=True)], windows
 
 
 def match(tables: pa.Table) -> pa.Table:
     """Stage 4: spans of windows that are single in their shard but known to another one."""
-    every = np.concatenate([np.frombuffer(b, np.int64).reshape(-1, 4) for b in tables.column("windows").to_pylist()])
-    every = every[np.argsort(every[:, 0], kind="stable")]
-    new = np.concatenate([[True], every[1:, 0] != every[:-1, 0]])
+    every = np.concatenate([np.frombuffer(b, np.int64).reshape(-1, 5) for b in tables.column("windows").to_pylist()])
+    every = every[np.lexsort((every[:, 4], every[:, 0]))]
+    new = np.concatenate([[True], (every[1:, 0] != every[:-1, 0]) | (every[1:, 4] != every[:-1, 4])])
     size = np.diff(np.concatenate([np.flatnonzero(new), [len(every)]]))
     hit = every[(np.repeat(size, size) > 1) & (every[:, 1] == 1)]
     return pa.table({"doc": hit[:, 2], "first": hit[:, 3], "end": hit[:, 3] + LENGTH})
@@ -397,21 +439,21 @@ def _contexts(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) ->
 
 
 def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc, first, end: byte ranges to remove; they may overlap."""
+    """doc, first, end: byte ranges to remove; they may overlap. Ids are whole numbers, one for each row (see ``named``)."""
     parts = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    docs = docs.where(F.col(f"`{id_col}`").isNotNull())
     rows = stored(anchor_rows(docs, id_col, text_col), "anchors")
-    keys = rows.groupBy("key").agg(F.sum("times").alias("n"), F.min("context").alias("low"), F.max("context").alias("high")).where("n > 1")
+    both = F.struct("context", "check")
+    keys = rows.groupBy("key").agg(F.sum("times").alias("n"), F.min(both).alias("low"), F.max(both).alias("high")).where("n > 1")
     # stored first: between two plain shuffles Spark can split a common key's many rows
     known = stored(keys.select("key", (F.col("low") != F.col("high")).alias("mixed")), "keys")
     again = stored(rows.join(known, "key"), "again")
     whole = again.where("NOT mixed OR times > 1").select("doc", "first", "end")
     mixed = again.where("mixed").drop("mixed")
     named = F.struct("doc", "first", "near", "anchor")
-    contexts = stored(mixed.groupBy("key", "context").agg(F.sum("times").alias("n"), F.min(named).alias("one")), "contexts")
+    contexts = stored(mixed.groupBy("key", "context", "check").agg(F.sum("times").alias("n"), F.min(named).alias("one")), "contexts")
     # contexts that repeat whole: all their rows go, and one of them stands for the rest below
-    repeated = contexts.where("n > 1").select("key", "context")
-    whole_mixed = mixed.join(repeated, ["key", "context"], "left_semi").select("doc", "first", "end")
+    repeated = contexts.where("n > 1").select("key", "context", "check")
+    whole_mixed = mixed.join(repeated, ["key", "context", "check"], "left_semi").select("doc", "first", "end")
     common = stored(contexts.groupBy("key").agg(F.count("*").alias("m")).where(F.col("m") > SHARD), "common")
     wanted = contexts.join(common, "key", "left").select(
         "key", F.coalesce(F.ceil(F.col("m") / SHARD), F.lit(1)).cast("long").alias("shards"), F.col("one.doc").alias("doc"),
@@ -436,11 +478,26 @@ def _merged(first: list[int], end: list[int], size: int) -> list[tuple[int, int]
     return [(a, min(z, size)) for a, z in out]
 
 
+def named(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """_row (all columns), _doc (a number of the row's own) and _text.
+
+    The ids serve if no two rows share one and none is null, which takes a count of ids. Else the rows are written
+    once with numbers, so that every later read finds the same ones.
+    """
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row")
+    own = F.col(f"`{id_col}`").cast("long")
+    if docs.groupBy(own.alias("i")).agg(F.count("*").alias("n")).where("n > 1 OR i IS NULL").limit(1).count():
+        kept = stored(docs.select(row, F.monotonically_increasing_id().alias("_doc")), "numbered")
+    else:
+        kept = docs.select(row, own.alias("_doc"))
+    return kept.select("_row", "_doc", F.col("_row").getField(text_col).alias("_text"))
+
+
 def _joined(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """The columns of docs and _spans; the row travels as one struct, so its names meet no others."""
-    listed = spans(docs, id_col, text_col).groupBy(F.col("doc").alias("_doc")).agg(F.collect_set(F.struct("first", "end")).alias("_spans"))
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col(f"`{id_col}`").cast("long").alias("_doc"))
-    return rows.join(listed, "_doc", "left").select(*[F.col("_row").getField(c).alias(c) for c in docs.columns], "_spans")
+    rows = named(docs, id_col, text_col)
+    listed = spans(rows, "_doc", "_text").groupBy(F.col("doc").alias("_doc")).agg(F.collect_set(F.struct("first", "end")).alias("_spans"))
+    return rows.select("_row", "_doc").join(listed, "_doc", "left").select(*[F.col("_row").getField(c).alias(c) for c in docs.columns], "_spans")
 
 
 def _each(batch: pa.RecordBatch, text: int, spans_at: int):
