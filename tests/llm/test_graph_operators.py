@@ -73,15 +73,37 @@ def test_components_match_all_pairs(spark):
                 f = c
     prints += [(next(number), r.getrandbits(64)) for _ in range(300)]
     df = spark.createDataFrame([(d, _signed(f)) for d, f in prints], "doc_id long, fp long")
+    want = _components(prints)
     got = {x.doc_id: x.component_id for x in simhash.components(df).collect()}
-    assert got == _components(prints)
+    assert got == want
+    assert simhash.NARROW.levels(10**6) == 3 and simhash.NARROW.levels(10**9) > 3
+
+
+def test_shards_over_the_bound_are_dealt_in_chunks(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "SHARD", 60)
+    monkeypatch.setattr(simhash.NARROW, "levels", lambda n: 1)
+    r = random.Random(8)
+    prints = []
+    for i in range(120):
+        f = r.getrandbits(64)
+        for k in range(r.randint(1, 6)):
+            prints.append((10 * i + k, f))
+            f ^= sum(1 << b for b in r.sample(range(64), r.randint(0, 5)))
+    df = spark.createDataFrame([(d, _signed(f)) for d, f in prints], "doc_id long, fp long")
+    dealt = simhash._dealt(simhash._shards(df.withColumnRenamed("doc_id", "rep"), simhash.NARROW, 1)).groupBy("shard", "i", "j").count().agg(F.max("count"), F.max("j")).first()
+    assert dealt[0] <= 4 * 60 and dealt[1] > 1
+    assert {x.doc_id: x.component_id for x in simhash.components(df).collect()} == _components(prints)
 
 
 def _similar(texts):
-    """ids -> smallest reachable id under both metrics, comparing all pairs."""
-    narrow = np.array([simhash.fingerprint(t) for _, t in texts], np.uint64)
-    wide = np.array([simhash.wide_fingerprint(t) for _, t in texts], np.int64).view(np.uint64)
-    blocks = wide.view(np.uint16).reshape(len(texts), 16)
+    """ids -> smallest reachable id under a Jaccard similarity of 0.8 or more of the sets of five-word shingles, comparing
+    all pairs with a shingle in common; texts without words are alike."""
+    sets, at = [], {}
+    for i, (_, t) in enumerate(texts):
+        w = [x for x in __import__("re").split("[\x20\x09-\x0d]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")) if x]
+        sets.append({tuple(w[k : k + 5]) for k in range(max(len(w) - 4, 1))} if w else set())
+        for shingle in sets[-1] or {()}:
+            at.setdefault(shingle, []).append(i)
     label = list(range(len(texts)))
 
     def root(i):
@@ -89,11 +111,15 @@ def _similar(texts):
             i = label[i]
         return i
 
-    for i in range(1, len(texts)):
-        near = np.bitwise_count(narrow[:i] ^ narrow[i]) <= 4
-        alike = (np.bitwise_count(wide[:i] ^ wide[i]).sum(axis=1) <= simhash.WIDE.radius) & (np.bitwise_count(blocks[:i] ^ blocks[i]) <= 1).any(axis=1)
-        for j in np.flatnonzero(near | alike).tolist():
-            label[root(j)] = root(i)
+    for i, own in enumerate(sets):
+        common = {}
+        for shingle in own or {()}:
+            for j in at[shingle]:
+                if j < i:
+                    common[j] = common.get(j, 0) + 1
+        for j, n in common.items():
+            if not own and not sets[j] or 10 * n >= 8 * (len(own) + len(sets[j]) - n):
+                label[root(j)] = root(i)
     groups = {}
     for i, (d, _) in enumerate(texts):
         groups.setdefault(root(i), []).append(d)

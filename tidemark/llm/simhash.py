@@ -4,10 +4,11 @@ A fingerprint is the bitwise majority over the XXH64 hashes of all word shingles
 when at most RADIUS bits differ. The 64 bits are cut into three blocks; of RADIUS = 4 differing bits some block has
 at most one, so each block is a metric space searched with radius one:
 
-* The top of each block's tree is fixed: rings by Hamming distance to LEVELS vantage points, a shard per combination
-  of rings. A block value one bit away lies exactly one ring in or out at every level (the triangle bound, tight for
-  radius one), so a fingerprint visits its own shard and the 2 ** (LEVELS - 1) boundary shards further out; the
+* The top of each block's tree is fixed: rings by Hamming distance to a few vantage points, more of them for more
+  fingerprints, a shard per combination of rings. A block value one bit away lies exactly one ring in or out at every level (the triangle bound, tight for
+  radius one), so a fingerprint visits its own shard and the 2 ** (levels - 1) boundary shards further out; the
   nearer ones visit it. Every pair meets, once per block.
+* A shard of more than SHARD rows is dealt into chunks that meet in pairs, so what a task holds is bounded.
 * Within a shard a vantage-point tree over the block values prunes rings the same way, and candidates are compared
   on all 64 bits.
 
@@ -38,11 +39,23 @@ from .common import cut, map_arrow
 
 SHINGLE = 4
 RADIUS = 4
-LEVELS = 3
 #: First bit and width of each block.
 BLOCKS = ((0, 21), (21, 21), (42, 22))
-#: Vantage points of the top levels, cut to a block's width: from the golden ratio, e and pi.
-VANTAGES = (0x9E3779B97F4A7C15, 0xB7E151628AED2A6B, 0x243F6A8885A308D3)
+#: Rows that one task compares, about; a shard of more is dealt into chunks, and each pair of chunks is compared.
+SHARD = 1 << 20
+
+
+def vantages(levels: int) -> list[int]:
+    """Vantage points of the top levels, cut to a block's width: the fractional part of multiples of the golden ratio, mixed."""
+    out = []
+    for k in range(levels):
+        x = (k + 1) * 0x9E3779B97F4A7C15 % (1 << 64)
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            x = (x ^ x >> shift) * factor % (1 << 64)
+        out.append(x ^ x >> 31)
+    return out
+
+
 #: Largest matrix of items by queries compared at once in a leaf.
 LEAF = 1 << 14
 
@@ -109,12 +122,21 @@ def wide_fingerprint(text: str | None, width: int = 5, words: int = 4) -> list[i
 class Metric:
     """Which fingerprints link: columns of 64 bits each, blocks of them searched at radius one, and the radius over all."""
 
-    def __init__(self, columns: tuple[str, ...], blocks: tuple[tuple[int, int, int], ...], radius: int, levels: int):
-        self.columns, self.blocks, self.radius, self.levels = columns, blocks, radius, levels
+    def __init__(self, columns: tuple[str, ...], blocks: tuple[tuple[int, int, int], ...], radius: int, least_levels: int):
+        self.columns, self.blocks, self.radius, self.least_levels = columns, blocks, radius, least_levels
+
+    def levels(self, n: int) -> int:
+        """Levels of the fixed tree top for n fingerprints: a level more while the fullest ring of rings, with its visitors,
+        is expected to hold more than SHARD rows. Rings of w bits hold about 0.8 / sqrt(w) of all at most. A level more
+        doubles the copies that visit, so no more than six are fixed; what is still too full is dealt into chunks."""
+        width, found = min(w for _, _, w in self.blocks), self.least_levels
+        while found < 6 and n * (0.8 / width**0.5) ** found * (1 + (1 << (found - 1))) > SHARD:
+            found += 1
+        return found
 
 
 #: Fingerprints of 64 bits within four: of four differing bits one of three blocks has at most one, so no link is lost.
-NARROW = Metric(("fp",), tuple((0, first, width) for first, width in BLOCKS), RADIUS, LEVELS)
+NARROW = Metric(("fp",), tuple((0, first, width) for first, width in BLOCKS), RADIUS, 3)
 #: Candidates: fingerprints of 256 bits within 64 that agree but for one bit in one of 28 overlapping blocks. Texts whose
 #: sets of five-word shingles have a Jaccard similarity of 0.8 differ in 39 bits on average (standard deviation 5.7),
 #: unrelated ones in 128; with independent bits, 0.12 of 100 pairs at 0.8 don't meet directly (simulated).
@@ -123,22 +145,34 @@ WIDE = Metric(("w0", "w1", "w2", "w3"), tuple((w, 8 * i, 16) for w in range(4) f
 GROUP_DOCS, GROUP_SHINGLES = 1024, 1 << 21
 
 
-def _shards(distinct: DataFrame, metric: Metric) -> DataFrame:
+def _shards(distinct: DataFrame, metric: Metric, levels: int) -> DataFrame:
     """A row for each shard a fingerprint lives in (home) or visits, for each block."""
-    rows, levels = [], metric.levels
+    rows = []
     for b, (word, first, width) in enumerate(metric.blocks):
         part = F.shiftrightunsigned(metric.columns[word], first).bitwiseAND(F.lit((1 << width) - 1))
-        rings = [F.bit_count(part.bitwiseXOR(F.lit(v & ((1 << width) - 1)))) for v in VANTAGES[:levels]]
+        rings = [F.bit_count(part.bitwiseXOR(F.lit(v & ((1 << width) - 1)))) for v in vantages(levels)]
         for turn in range(-1, 1 << (levels - 1)):
             moved = [rings[k] + (0 if turn < 0 else 1 if k == 0 or turn >> (k - 1) & 1 else -1) for k in range(levels)]
-            code = F.lit(b)
+            code = F.lit(b).cast("long")
             for ring in moved:
                 code = code * 32 + ring + 1
-            rows.append(F.struct(code.cast("int").alias("shard"), F.lit(turn < 0).alias("home")))
+            rows.append(F.struct(code.alias("shard"), F.lit(turn < 0).alias("home")))
     spread = distinct.select(*metric.columns, "rep", F.explode(F.array(*rows)).alias("_s"))
     return spread.select(F.col("_s.shard").alias("shard"), *metric.columns, "rep", F.col("_s.home").alias("home"))
 
 
+def _dealt(rows: DataFrame) -> DataFrame:
+    """Rows of shards with i and j, the pair of chunks a task compares. A shard of at most SHARD rows is one chunk; the
+    rows of a larger one meet every other chunk of it, so no pair is lost and no task has more than about 2 * SHARD."""
+    large = cut(rows.groupBy("shard").agg(F.count("*").alias("n")).where(F.col("n") > SHARD).select("shard", F.ceil(F.col("n") / SHARD).cast("int").alias("chunks")))
+    if large.isEmpty():
+        return rows.withColumns({"i": F.lit(0), "j": F.lit(0)})
+    chunked = rows.join(large, "shard", "left").withColumn("chunks", F.coalesce("chunks", F.lit(1)))
+    chunked = chunked.withColumn("chunk", F.expr("cast(pmod(xxhash64(rep), chunks) as int)"))
+    other = F.explode(F.expr("sequence(0, chunks - 1)"))
+    return chunked.withColumn("other", other).withColumns({"i": F.least("chunk", "other"), "j": F.greatest("chunk", "other")}).drop("chunks", "chunk", "other")
+
+
 def join_labels(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
     """Merges, in place, the components of the linked nodes a and b; a label is the smallest node of its component."""
     x, y = label[a], label[b]
@@ -213,9 +247,10 @@ def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 def links(distinct: DataFrame, metric: Metric = NARROW) -> DataFrame:
     """Links (a, b), a < b, that connect exactly the representatives whose fingerprints link, directly or through others."""
+    levels = metric.levels(distinct.count())
 
     def shard_links(table: pa.Table) -> pa.Table:
-        word, first, width = metric.blocks[table.column("shard")[0].as_py() >> (5 * metric.levels)]
+        word, first, width = metric.blocks[table.column("shard")[0].as_py() >> (5 * levels)]
         whole = np.stack([table.column(c).to_numpy().view(np.uint64) for c in metric.columns], axis=1)
         rep = table.column("rep").to_numpy()
         home = table.column("home").to_numpy(zero_copy_only=False)
@@ -229,7 +264,7 @@ def links(distinct: DataFrame, metric: Metric = NARROW) -> DataFrame:
         linked = low != rep
         return pa.table({"a": pa.array(low[linked], pa.int64()), "b": pa.array(rep[linked], pa.int64())})
 
-    return _shards(distinct, metric).groupBy("shard").applyInArrow(shard_links, "a long, b long").distinct()
+    return _dealt(_shards(distinct, metric, levels)).groupBy("shard", "i", "j").applyInArrow(shard_links, "a long, b long").distinct()
 
 
 def stars(edges: DataFrame, most: int = 40) -> DataFrame:
