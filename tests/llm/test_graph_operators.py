@@ -238,6 +238,27 @@ def test_topk_matches_brute_force(spark, monkeypatch, shard):
     assert sorted((x.query, x["rank"], x.id, x.score) for x in got.collect()) == _brute_topk(rows, topk.K)
 
 
+def test_topk_skips_shards_and_answers_each_query_row(spark, monkeypatch):
+    monkeypatch.setattr(topk, "SHARD", 100)
+    r = np.random.default_rng(5)
+    centres = r.normal(size=(8, 6)) * 3
+    rows = [(i, [float(x) for x in centres[i % 8] + 0.05 * r.normal(size=6)]) for i in range(800)] + [(20, [1.0, 0.0])]
+    rows += [rows[0], rows[40]]  # repeated rows
+    vectors = topk.scaled(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), "vec_id", "embedding")
+    asked = []
+    visits = topk._visits
+    monkeypatch.setattr(topk, "_visits", lambda *a: asked.append(visits(*a)) or asked[-1])
+    got = topk.search(vectors, vectors.where("id % 20 = 0")).collect()
+    n = vectors.where("id % 20 = 0").count()
+    assert len(got) == n * topk.K and sum(x.count() for x in asked) < 0.65 * 8 * n and asked[-1].count() == 0
+    good = [(i, [int(np.floor(64 * x)) for x in v]) for i, v in rows]
+    for i in {x.query for x in got}:
+        want = []
+        for v in [w for j, w in good if j == i]:
+            want += [(n + 1, j, -s) for n, (s, j) in enumerate(sorted((-sum(a * b for a, b in zip(v, w, strict=False)), j) for j, w in good if j != i)[: topk.K])]
+        assert sorted((x["rank"], x.id, x.score) for x in got if x.query == i) == sorted(want)
+
+
 def test_topk_of_few_rows(spark):
     df = spark.createDataFrame([(0, [1.0, 0.0]), (1, [0.5, 0.5]), (2, [-1.0, 0.0])], "vec_id long, embedding array<float>")
     vectors = topk.scaled(df, "vec_id", "embedding")
