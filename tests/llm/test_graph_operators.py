@@ -393,7 +393,7 @@ def test_quotes_are_linked_and_removed(spark):
     assert got[1, 4].reply_to_turn == 2 and got[1, 4].n_links == 2  # the shallower quote decides
     assert (got[2, 7].reply_to_conv, got[2, 7].reply_to_turn) == (1, 1)
     assert got[1, 0].reply_to_turn is None and got[1, 1].reply_to_turn == 0 and got[2, 9].reply_to_turn == 7
-    assert [got[1, i].position for i in range(5)] == [0, 1, 2, 3, 4] and got[2, 7].position == 0 and got[2, 9].text == ""
+    assert [got[1, i].position for i in range(5)] == [0, 1, 2, 3, 4] and (got[2, 7].thread, got[2, 7].position) == (1, 5) and (got[2, 9].thread, got[2, 9].position) == (1, 6) and got[2, 9].text == ""
 
 
 def test_short_and_partial_quotes_are_linked(spark):
@@ -410,9 +410,85 @@ def test_short_and_partial_quotes_are_linked(spark):
 
 def test_an_original_elsewhere_counts_if_the_first_is_later_in_the_own_conversation(spark):
     same = "exactly these words in both places"
-    rows = [(1, 0, "user", f"> {same}\nOk"), (1, 3, "user", same), (2, 5, "user", same)]
+    rows = [(1, 6, "user", f"> {same}\nOk"), (1, 8, "user", same), (2, 5, "user", same), (3, 1, "user", f"> {same}\nToo early")]
     got = {(r.conv_id, r.turn): r for r in quotes.conversations(_chat(spark, rows)).collect()}
-    assert (got[1, 0].reply_to_conv, got[1, 0].reply_to_turn, got[1, 0].n_links) == (2, 5, 1)
+    assert (got[1, 6].reply_to_conv, got[1, 6].reply_to_turn, got[1, 6].n_links, got[1, 6].thread, got[1, 6].position) == (2, 5, 1, 2, 1)
+    assert (got[3, 1].n_links, got[3, 1].reply_to_conv, got[3, 1].thread) == (0, None, 3)  # replies are to earlier messages only
+
+
+def _plain_chat(rows):
+    """(conv_id, turn) -> thread, position, reply_to, links found by comparing every passage with every run of every message."""
+    import re
+
+    normal = lambda x: " ".join(re.findall(r"\w+", x.lower()))
+    said, asks, clean = {}, {}, {}
+    for c, t, _, text in rows:
+        own = [x for x in text.split("\n") if not x.startswith(">")]
+        clean[c, t] = "\n".join(own)
+        runs = {normal("\n".join(own))}
+        for paragraph in "\n".join(own).split("\n\n"):
+            for parts in (paragraph.split("\n"), re.split(r"(?<=[.!?])\s+", paragraph)):
+                runs |= {normal(" ".join(parts[i:j])) for i in range(len(parts)) for j in range(i + 1, len(parts) + 1)}
+        said[c, t] = runs - {""}
+        passages, last = [], 0
+        for line in text.split("\n"):
+            level = len(line) - len(line.lstrip(">"))
+            if level and level == last:
+                passages[-1][1].append(line.lstrip(">"))
+            elif level:
+                passages.append((level, [line.lstrip(">")]))
+            last = level
+        asks[c, t] = {(n, normal(" ".join(x))) for n, x in passages}
+    out = {}
+    for c, t in sorted(asks, key=lambda k: (k[1], k[0])):
+        found = []
+        for level, q in asks[c, t]:
+            own = [(c, u) for d, u in said if d == c and u < t and q in said[d, u]]
+            others = [(u, d) for d, u in said if d != c and q in said[d, u]]
+            if own:
+                found.append((level, 0, -max(u for _, u in own), c))
+            elif others and min(others)[0] < t:
+                found.append((level, 1, -min(others)[0], min(others)[1]))
+        before = [u for d, u in asks if d == c and u < t]
+        to = (min(found)[3], -min(found)[2]) if found else (c, max(before)) if before else None
+        out[c, t] = [out[to][0] if to else c, None, to, len(found)]
+    for k, v in out.items():
+        v[1] = sum(1 for j, w in out.items() if w[0] == v[0] and j[1] < k[1])
+    return out, clean
+
+
+def test_conversations_match_plain_linking(spark, monkeypatch):
+    monkeypatch.setattr(quotes, "RANGE", 4)
+    r = random.Random(12)
+    sentences = [" ".join(r.choice("red blue green old new big small".split()) for _ in range(r.randint(1, 4))) + r.choice([".", "!", "?"]) for _ in range(25)]
+    rows, texts = [], []
+    for c in range(1, 9):
+        for t in sorted(r.sample(range(30), 12)):
+            own = r.choice(["\n", " ", "\n\n"]).join(r.choice(sentences) for _ in range(r.randint(1, 4)))
+            lines = own.split("\n")
+            if texts and r.random() < 0.6:
+                old = r.choice(texts).replace("\n\n", "\n").split("\n")
+                at = r.randrange(len(old))
+                lines = [r.choice([">", ">>"]) + x for x in old[at : at + r.randint(1, 2)]] + lines
+            texts.append(own)
+            rows.append((c, t, "user", "\n".join(lines)))
+    want, clean = _plain_chat(rows)
+    got = {(x.conv_id, x.turn): x for x in quotes.conversations(_chat(spark, rows)).collect()}
+    assert sum(v[3] > 0 and v[2][0] != k[0] for k, v in want.items()) > 5 and sum(v[3] > 0 and v[2][0] == k[0] for k, v in want.items()) > 3
+    for k, (thread, position, to, n) in want.items():
+        x = got[k]
+        assert ((x.reply_to_conv, x.reply_to_turn) if x.reply_to_turn is not None else None, x.n_links, x.thread, x.position) == (to, n, thread, position), k
+        assert x.text == clean[k].strip()
+        assert to is None or got[to].position < x.position and got[to].thread == x.thread
+    made = quotes.threads(_chat(spark, rows), 5).collect()
+    assert sum(len(x.messages) for x in made) == len(rows) and all(m.position // 5 == x.part for x in made for m in x.messages)
+
+
+def test_long_paragraphs_and_very_long_chats(spark):
+    lines = [f"line number {i} of it" for i in range(20_000)]
+    rows = [(1, 0, "user", "\n".join(lines)), (1, 1, "user", "\n".join("> " + x for x in lines[5000:9000]) + "\nyes"), (1, 2, "user", "> line number 77 of it\nno"), (None, 4, "user", "one thing"), (None, 9, "user", "> one thing\nOk")]
+    got = {(x.conv_id, x.turn): x for x in quotes.conversations(_chat(spark, rows)).collect()}
+    assert [(got[k].reply_to_turn, got[k].n_links) for k in ((1, 1), (1, 2), (None, 9))] == [(0, 1), (0, 1), (4, 1)]
 
 
 def test_an_original_is_the_latest_before(spark):
