@@ -80,7 +80,7 @@ def _labelled(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
     rows = labels.where("doc_id is not null and (quality is not null or toxic is not null)").select("doc_id", "quality", "toxic")
     n = rows.count()
     spread = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 20))
-    picked = rows.where(spread < F.lit(int((1 << 20) * min(1.0, 0.95 * sample / max(n, 1))) if n > sample else 1 << 20)).limit(sample)
+    picked = rows.where(spread < F.lit(int((1 << 20) * min(1.0, 0.95 * sample / max(n, 1))) if n > sample else 1 << 20)).orderBy(F.xxhash64("doc_id"), "doc_id", "quality", "toxic").limit(sample)
     return docs.select("doc_id", "text").where("text is not null").join(F.broadcast(picked), "doc_id")
 
 
