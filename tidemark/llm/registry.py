@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, html, langid, packing, quality, quotes, rules, simhash, suffix_dedup, topk
-from .common import table
+from .common import stored, table
 
 
 def _tokenizer(name: str) -> str:
@@ -16,35 +16,53 @@ def _tokenizer(name: str) -> str:
 
 
 def op1_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Evidence, posteriors and verdict of every document; source stands for the host, lang for the path."""
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+_LEDGERS: dict[tuple[str, str], DataFrame] = {}
+
+
+def _ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stored rule ledger of all documents; texts are measured once a session, and policies and ablations read this."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _LEDGERS:
+        _LEDGERS[key] = stored(rules.ledger(table(spark, sf_dir, "documents")), "ledger")
+    return _LEDGERS[key]
+
+
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    book = rules.judged(table(spark, sf_dir, "documents"))
+    """Measurements, failure bits and verdicts of the base and the current policy for every document."""
+    book = rules.judged(_ledger(spark, sf_dir))
     return book.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed")
 
 
 def op2_rule_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rules.ablations(rules.ledger(table(spark, sf_dir, "documents")))
+    """What each rule removes, alone and with others, from the stored ledger."""
+    return rules.ablations(_ledger(spark, sf_dir))
 
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Number and digests of the ids of every text, and of the bytes they decode to."""
     import public_tokenizers
 
     return bpe.digest(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Removed bytes and runs of every document, and the digest of what is left."""
     return suffix_dedup.digest(table(spark, sf_dir, "documents"))
 
 
 def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every piece of every document in sequences along the curve."""
     import public_tokenizers
 
     return packing.pack(table(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"), public_tokenizers.PATTERN).drop("ids")
 
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predicted language and score of every text, learned from the documents that are not held out."""
     docs = table(spark, sf_dir, "documents")
     sample = langid.learn(docs.where(langid.fold() != langid.HELD_OUT))
     found = langid.identify(docs, sample)
@@ -53,20 +71,24 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprint and component of every document."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
 def op9_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The twenty best candidates of every query vector."""
     vectors = topk.scaled(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
     best = topk.search(vectors, vectors.where("id % 20 = 0"))
     return best.select(F.col("query").alias("query_id"), F.col("rank").cast("int").alias("rank"), F.col("id").alias("vec_id"), "score")
 
 
 def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every message without quotes, with what it replies to and its place in its thread."""
     return quotes.conversations(table(spark, sf_dir, "conversations"))
 
 
 def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
     return html.extract(table(spark, sf_dir, "pages"))
 
 

@@ -19,6 +19,8 @@ from .common import SPACES
 #: The symbols counted by n_symbols.
 SYMBOLS = "#*$%&|<>"
 CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÑÒÓÔÕÖØÙÚÛÜÝ"
+#: White space that separates words, as in a pattern's brackets.
+SPACE = r"\x20\x09-\x0D"
 WINDOW = 8
 
 #: Rule name -> its bit and the condition under which it fails, over the measurements.
@@ -48,8 +50,9 @@ POLICIES: dict[str, int] = {
 CURRENT = "2025.1"
 
 
-def _removed(text: Column, chars: str) -> Column:
-    return F.length(F.translate(text, chars, ""))
+def _count(text: Column, chars: str) -> Column:
+    """How many characters of a text are of a class, given as what stands between the brackets of a pattern."""
+    return F.regexp_count(text, F.lit(f"[{chars}]")).cast("long")
 
 
 def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -60,16 +63,15 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     base = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).select("doc_id", text.alias("text"))
-    spaced = F.translate(F.col("text"), SPACES, " " * len(SPACES))
+    t = F.col("text")
     listed = base.select(
         "doc_id",
-        F.length("text").cast("long").alias("_all"),
-        _removed(F.col("text"), SPACES).cast("long").alias("word_chars"),
-        (F.length("text") - _removed(F.col("text"), SYMBOLS)).cast("long").alias("n_symbols"),
-        (F.length("text") - _removed(F.col("text"), CAPITALS)).cast("long").alias("n_capitals"),
-        (F.length("text") - _removed(F.col("text"), "!")).cast("long").alias("n_exclaims"),
-        F.filter(F.split("text", "\n"), lambda x: F.length(F.btrim(x, F.lit(SPACES))) > 0).alias("_lines"),
-        F.array_remove(F.split(spaced, " "), "").alias("_words"),
+        (F.length(t).cast("long") - _count(t, SPACE)).alias("word_chars"),
+        _count(t, SYMBOLS).alias("n_symbols"),
+        _count(t, CAPITALS).alias("n_capitals"),
+        (F.length(t) - F.length(F.replace(t, F.lit("!"), F.lit("")))).cast("long").alias("n_exclaims"),
+        F.filter(F.split(t, "\n"), lambda x: F.length(F.btrim(x, F.lit(SPACES))) > 0).alias("_lines"),
+        F.array_remove(F.split(t, f"[{SPACE}]+"), "").alias("_words"),
     )
     hashed = listed.select(
         "doc_id", "word_chars", "n_symbols", "n_capitals", "n_exclaims",
@@ -141,10 +143,10 @@ def ablations(book: DataFrame, version: str = CURRENT) -> DataFrame:
         F.lit(version).alias("policy"), "rule", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("fails", "fails_alone", "kept_without")])
 
 
-def judged(docs: DataFrame, version: str = CURRENT) -> DataFrame:
-    """The ledger with ``base_failed`` and ``kept`` under a policy."""
+def judged(book: DataFrame, version: str = CURRENT) -> DataFrame:
+    """A ledger with ``base_failed`` and ``kept`` under a policy."""
     base = F.col("failed").bitwiseAND(F.lit(POLICIES["base"])) != 0
-    return ledger(docs).withColumn("base_failed", base).withColumn("kept", ~base & passes(version))
+    return book.withColumn("base_failed", base).withColumn("kept", ~base & passes(version))
 
 
 def keep(docs: DataFrame, version: str = CURRENT) -> DataFrame:
