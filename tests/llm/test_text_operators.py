@@ -59,14 +59,14 @@ def test_measures_match_plain_python(spark, odd, sf):
 
 
 def test_policies_and_ablations(spark, odd, none):
-    book = rules.judged(odd)
+    book = rules.judged(rules.ledger(odd))
     kept = {r.doc_id for r in book.where("kept").collect()}
     assert kept == {3} and rules.keep(odd).columns == odd.columns and {r.doc_id for r in rules.keep(odd).collect()} == kept
     rows = {r.rule: r for r in rules.ablations(rules.ledger(odd)).collect()}
     failed = [r.failed for r in book.collect()]
     for name, (bit, _) in rules.RULES.items():
         assert rows[name].fails == sum(f >> bit & 1 for f in failed) and rows[name].fails_alone == sum(f == 1 << bit for f in failed)
-    assert rules.judged(none).count() == 0 and rules.keep(none).count() == 0 and rules.ablations(rules.ledger(none)).count() == len(rules.RULES)
+    assert rules.judged(rules.ledger(none)).count() == 0 and rules.keep(none).count() == 0 and rules.ablations(rules.ledger(none)).count() == len(rules.RULES)
 
 
 # --- classifier ---
@@ -88,6 +88,48 @@ def test_sparse_sites_stay_near_the_global_rate(spark):
     assert abs(rate["h0"] - 1) < 0.1 and rate["h4"] < rate["h2"] < rate["h0"] and rate["tiny"] > 0.2 and 0 < overall["toxic"] < 0.05
 
 
+def test_classifier_on_held_out_labels(spark):
+    sf = "/root/testdata/sf0.1"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    rows = quality.classify(docs, labels.where("doc_id % 2 = 0")).join(labels.where("doc_id % 2 = 1"), "doc_id").collect()
+    good, bad, toxic = [r.kept for r in rows if r.quality == 1 and r.toxic == 0], [r.kept for r in rows if r.quality == 0], [r.kept for r in rows if r.toxic == 1]
+    assert sum(good) / len(good) > 0.97 and sum(bad) / len(bad) < 0.05 and sum(toxic) / len(toxic) < 0.12
+
+
+def test_posteriors_match_a_plain_computation(spark):
+    import math
+
+    sf = "/root/testdata/sf0.001"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    rows = quality.classify(docs, labels).collect()
+    site, told = {r.doc_id: (r.host, r.path) for r in rows}, labels.collect()
+    for name, ev, out in (("quality", "ev_good", "p_good"), ("toxic", "ev_toxic", "p_toxic")):
+        paths, hosts = {}, {}
+        for x in told:
+            if x.doc_id in site and x[name] is not None:
+                for table, key in ((paths, site[x.doc_id]), (hosts, site[x.doc_id][0])):
+                    hits, n = table.get(key, (0, 0))
+                    table[key] = (hits + (x[name] != 0), n + 1)
+        hits, n = (sum(v[i] for v in hosts.values()) for i in (0, 1))
+        rate = (hits + 1) / (n + 2)
+
+        def strength(table, rate=rate):
+            variance = rate * (1 - rate)
+            excess = sum((h - m * rate) ** 2 - m * variance for h, m in table.values())
+            pairs = sum(m * (m - 1) for _, m in table.values())
+            return 500.0 if not pairs or excess <= 0 else min(max(1 / min(excess / (pairs * variance), 0.9) - 1, 5.0), 500.0)
+
+        a, b = strength(hosts), strength(paths)
+        for r in rows:
+            shift = 0.0
+            if r.host in hosts and (r.host, r.path) in paths:
+                of_host = (hosts[r.host][0] + a * rate) / (hosts[r.host][1] + a)
+                p = (paths[r.host, r.path][0] + b * of_host) / (paths[r.host, r.path][1] + b)
+                shift = math.log(p / (1 - p)) - math.log(rate / (1 - rate))
+            odds = math.log(rate / (1 - rate)) + max(-quality.SITE_CAP, min(quality.SITE_CAP, shift)) + r[ev]
+            assert abs(r[out] - 1 / (1 + math.exp(-odds))) < 1e-9
+
+
 def test_classifier_on_odd_rows(spark, odd, none):
     labels = spark.createDataFrame([(0, 1, 0), (1, None, 1), (3, 1, None), (4, 0, 0), (4, 1, 0), (None, 1, 0), (99, 1, 1)], "doc_id long, quality int, toxic int")
     got = quality.classify(odd, labels).collect()
