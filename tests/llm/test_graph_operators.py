@@ -58,6 +58,18 @@ def test_fingerprints(spark):
     assert {r.component_id for r in got if r.doc_id < 2} == {0}
 
 
+def test_many_hashes_are_those_of_the_library(monkeypatch):
+    rng = random.Random(7)
+    monkeypatch.setattr(simhash, "SPAN", 5_000)
+    for size, most in ((0, 1), (5, 30), (400, 3_000), (20_000, 5_000)):
+        data = rng.randbytes(size)
+        starts = sorted(rng.randrange(size + 1) for _ in range(most))
+        lengths = [min(rng.randrange(rng.choice([4, 40, 300])), size - a) for a in starts]
+        got = simhash.xxh64_many(data, np.array(starts, np.int64), np.array(lengths, np.int64))
+        assert got.tolist() == [xxhash.xxh64_intdigest(data[a : a + n], 42) for a, n in zip(starts, lengths, strict=True)]
+    assert simhash.xxh64_many(b"", np.zeros(0, np.int64), np.zeros(0, np.int64)).tolist() == []
+
+
 def test_components_match_all_pairs(spark):
     r = random.Random(6)
     centres = [r.getrandbits(64) for _ in range(40)] + [0, (1 << 64) - 1]

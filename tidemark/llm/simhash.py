@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, map_arrow
+from .common import cut, map_arrow, slices, utf8
 
 SHINGLE = 4
 RADIUS = 4
@@ -60,25 +60,124 @@ def vantages(levels: int) -> list[int]:
 LEAF = 1 << 14
 
 
-def shingle_hashes(text: str | None, width: int) -> np.ndarray:
-    """XXH64 of each shingle; of the whole sequence where it is shorter; none without words."""
-    words = (text or "").encode().lower().split()  # bytes.lower() changes A-Z only; bytes.split() cuts at the six ASCII spaces
-    if not words:
-        return np.zeros(0, np.uint64)
-    joined = b" ".join(words)
-    lengths = np.fromiter(map(len, words), np.int64, len(words))
-    ends = np.cumsum(lengths + 1) - 1
-    starts = ends - lengths
-    last = max(len(words) - width, 0)
+#: The five primes of XXH64, fixed values.
+P1, P2, P3, P4, P5 = 11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261
+#: Strings longer than LONG, and lengths that fewer than FEW strings of a span share, are hashed one by one.
+LONG, FEW = 256, 48
+#: Bytes of text whose strings are hashed together.
+SPAN = 1 << 20
+
+
+def _rotated(x: np.ndarray, bits: int) -> np.ndarray:
+    return (x << np.uint64(bits)) | (x >> np.uint64(64 - bits))
+
+
+def _round(v: np.ndarray | np.uint64, lane: np.ndarray) -> np.ndarray:
+    return _rotated(lane * np.uint64(P2) + v, 31) * np.uint64(P1)
+
+
+def _xxh64_equal(lanes: np.ndarray, starts: np.ndarray, n: int, seed: int) -> np.ndarray:
+    """XXH64 of the strings of n bytes at ``starts``; lanes[i] holds the eight bytes from i on."""
+    at, mask = 0, (1 << 64) - 1
+    if n >= 32:
+        v = [np.full(len(starts), x & mask, np.uint64) for x in (seed + P1 + P2, seed + P2, seed, seed - P1)]
+        while n - at >= 32:
+            v = [_round(x, lanes[starts + (at + 8 * k)]) for k, x in enumerate(v)]
+            at += 32
+        h = _rotated(v[0], 1) + _rotated(v[1], 7) + _rotated(v[2], 12) + _rotated(v[3], 18)
+        for x in v:
+            h = (h ^ _round(np.uint64(0), x)) * np.uint64(P1) + np.uint64(P4)
+        h += np.uint64(n)
+    else:
+        h = np.full(len(starts), (seed + P5 + n) & mask, np.uint64)
+    while n - at >= 8:
+        h = _rotated(h ^ _round(np.uint64(0), lanes[starts + at]), 27) * np.uint64(P1) + np.uint64(P4)
+        at += 8
+    if at < n:
+        rest = lanes[starts + at]
+        if n - at >= 4:
+            h = _rotated(h ^ (rest & np.uint64(0xFFFFFFFF)) * np.uint64(P1), 23) * np.uint64(P2) + np.uint64(P3)
+            rest >>= np.uint64(32)
+            at += 4
+        for _ in range(n - at):
+            h = _rotated(h ^ (rest & np.uint64(0xFF)) * np.uint64(P5), 11) * np.uint64(P1)
+            rest >>= np.uint64(8)
+    h = (h ^ (h >> np.uint64(33))) * np.uint64(P2)
+    h = (h ^ (h >> np.uint64(29))) * np.uint64(P3)
+    return h ^ (h >> np.uint64(32))
+
+
+def xxh64_many(data: bytes, starts: np.ndarray, lengths: np.ndarray, seed: int = 42) -> np.ndarray:
+    """XXH64 of data[starts[i] : starts[i] + lengths[i]] for ascending starts; strings of one length are hashed together.
+
+    A span of text at a time is widened to eight bytes a position, so memory is bounded whatever the text.
+    """
+    out = np.empty(len(starts), np.uint64)
     digest = xxhash.xxh64_intdigest
-    return np.array([digest(joined[a:b], 42) for a, b in zip(starts[: last + 1].tolist(), ends[min(width, len(words)) - 1 :].tolist(), strict=True)], np.uint64)
+    lo = 0
+    while lo < len(starts):
+        first = int(starts[lo])
+        hi = int(np.searchsorted(starts, first + SPAN, side="right"))
+        part, sizes = starts[lo:hi] - first, lengths[lo:hi]
+        window = data[first : first + int(part[-1]) + LONG] + bytes(8)
+        lanes = np.ndarray(len(window) - 7, "<u8", buffer=window, strides=(1,)).copy()
+        order = np.argsort(np.minimum(sizes, LONG + 1).astype(np.uint16), kind="stable")
+        cuts = np.searchsorted(np.minimum(sizes[order], LONG + 1), np.arange(LONG + 2))
+        singly = [order[cuts[-1] :]]
+        for n in np.flatnonzero(np.diff(cuts)).tolist():
+            same = order[cuts[n] : cuts[n + 1]]
+            if len(same) < FEW:
+                singly.append(same)
+            else:
+                out[lo + same] = _xxh64_equal(lanes, part[same], n, seed)
+        for i in (np.concatenate(singly) + lo).tolist():
+            a = int(starts[i])
+            out[i] = digest(data[a : a + int(lengths[i])], seed)
+        lo = hi
+    return out
+
+
+def shingles_of(texts: list[str | None], widths: tuple[int, ...]) -> list[list[np.ndarray]]:
+    """For each width, and each text, XXH64 of each shingle; of the whole sequence where it is shorter; none without words."""
+    split = [(t or "").encode().lower().split() for t in texts]  # bytes.lower() changes A-Z only; bytes.split() cuts at the six ASCII spaces
+    counts = np.fromiter(map(len, split), np.int64, len(split))
+    data = b" ".join([b" ".join(words) for words in split if words])
+    ends = np.append(np.flatnonzero(np.frombuffer(data, np.uint8) == 32), len(data))  # words hold no space
+    starts = np.append(0, ends[:-1] + 1)
+    tops = np.cumsum(counts)  # words up to and with each text
+    out = []
+    for width in widths:
+        made = np.where(counts > 0, np.maximum(counts - width, 0) + 1, 0)
+        bounds = np.cumsum(made)
+        # the k-th shingle of a text begins with its k-th word
+        head = np.arange(int(made.sum())) + np.repeat(tops - counts - (bounds - made), made)
+        tail = head + np.repeat(np.minimum(width, counts), made) - 1
+        found = xxh64_many(data, starts[head], ends[tail] - starts[head])
+        out.append([found[b - n : b] for b, n in zip(bounds.tolist(), made.tolist(), strict=True)])
+    return out
+
+
+def shingle_hashes(text: str | None, width: int) -> np.ndarray:
+    """The shingle hashes of one text."""
+    return shingles_of([text], (width,))[0][0]
+
+
+def batched(column: pa.Array, widths: tuple[int, ...], most: int = 1 << 23) -> Iterator[tuple[np.ndarray, ...]]:
+    """The shingle hashes of each text of a column, a tuple of one array per width; texts are taken together up to ``most`` bytes."""
+    _, at = utf8(column)
+    for lo, hi in slices(np.diff(at), most):
+        yield from zip(*shingles_of(column.slice(lo, hi - lo).to_pylist(), widths), strict=True)
 
 
 def _majority(hashes: np.ndarray) -> int:
     """The number whose bits are set in over half of the hashes."""
     counts = np.zeros(64, np.int64)
-    for at in range(0, len(hashes), 1 << 15):
-        counts += np.unpackbits(hashes[at : at + (1 << 15)].astype(">u8").view(np.uint8)).reshape(-1, 64).sum(axis=0, dtype=np.int32)
+    for at in range(0, len(hashes), 255 << 7):
+        bits = np.unpackbits(hashes[at : at + (255 << 7)].astype(">u8").view(np.uint8)).reshape(-1, 64)
+        full = len(bits) // 255 * 255  # sums of 255 bits fit a byte
+        counts += bits[full:].sum(axis=0, dtype=np.uint8)
+        if full:
+            counts += bits[:full].reshape(-1, 255, 64).sum(axis=1, dtype=np.uint8).sum(axis=0, dtype=np.int64)
     return int.from_bytes(np.packbits(2 * counts > len(hashes)).tobytes(), "big")
 
 
@@ -93,22 +192,21 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
-            found = np.array([fingerprint(x.as_py(), width) for x in batch.column(1)], np.uint64)
+            found = np.array([_majority(h) for (h,) in batched(batch.column(1), (width,))], np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found.view(np.int64), pa.int64())], ["id", "fp"])
 
     return map_arrow(docs.select(f"`{id_col}`", f"`{text_col}`"), run, f"id {kind}, fp long").withColumnRenamed("id", id_col)
 
 
-def wide_fingerprint(text: str | None, width: int = 5, words: int = 4) -> list[int]:
-    """64 * words bits over the distinct shingles of ``width`` words, as signed longs.
+def wide_fingerprint(hashes: np.ndarray, words: int = 4) -> list[int]:
+    """64 * words bits over the distinct hashes of a text's shingles, as signed longs.
 
     The first word's hashes are those of the shingles; each further word mixes them anew. Bits differ between two
     texts in proportion to the angle between their shingle sets.
     """
-    found = shingle_hashes(text, width)
-    if not len(found):
+    if not len(hashes):
         return [0] * words
-    hashes, out = np.unique(found), []
+    out = []
     for k in range(words):
         h = hashes + np.uint64(k * 0x9E3779B97F4A7C15 % (1 << 64))
         if k:
@@ -298,7 +396,9 @@ def components(prints: DataFrame, id_col: str = "doc_id", metrics: tuple[Metric,
     values are rows of a few longs that Spark's skew join can split.
     """
     columns = list(dict.fromkeys(c for m in metrics for c in m.columns))
-    distinct = cut(prints.groupBy(*columns).agg(F.min(id_col).cast("long").alias("rep")).where("rep is not null"))
+    distinct = prints.groupBy(*columns).agg(F.min(id_col).cast("long").alias("rep")).where("rep is not null")
+    # a few bytes a row here, and a row for every shard next: spread over all cores before that
+    distinct = cut(distinct.repartition(int(prints.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
     edges = links(distinct, metrics[0])
     for metric in metrics[1:]:
         edges = edges.union(links(distinct, metric))
@@ -391,7 +491,7 @@ def verified(docs: DataFrame, nodes: DataFrame) -> DataFrame:
 
     def sets(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
-            made = [np.unique(shingle_hashes(t.as_py(), 5)) for t in batch.column(5)]
+            made = [np.unique(h) for (h,) in batched(batch.column(5), (5,))]
             # another text under the same id has its own node
             right = [i for i, (h, s) in enumerate(zip(made, batch.column(4).to_pylist(), strict=True)) if _same(h) == s]
             yield pa.RecordBatch.from_arrays(
@@ -420,11 +520,10 @@ def similar(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]):
         for batch in batches:
             narrow, wide, same, size = [], [], [], []
-            for text in batch.column(1):
-                text = text.as_py()
-                hashes = np.unique(shingle_hashes(text, 5))
-                narrow.append(fingerprint(text))
-                wide.append(wide_fingerprint(text))
+            for four, five in batched(batch.column(1), (SHINGLE, 5)):
+                hashes = np.unique(five)
+                narrow.append(_majority(four))
+                wide.append(wide_fingerprint(hashes))
                 same.append(_same(hashes))
                 size.append(len(hashes))
             wide = np.array(wide, np.int64).reshape(-1, 4)
