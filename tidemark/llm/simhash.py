@@ -162,7 +162,7 @@ def shingle_hashes(text: str | None, width: int) -> np.ndarray:
     return shingles_of([text], (width,))[0][0]
 
 
-def batched(column: pa.Array, widths: tuple[int, ...], most: int = 1 << 23) -> Iterator[tuple[np.ndarray, ...]]:
+def batched(column: pa.Array, widths: tuple[int, ...], most: int = 1 << 20) -> Iterator[tuple[np.ndarray, ...]]:
     """The shingle hashes of each text of a column, a tuple of one array per width; texts are taken together up to ``most`` bytes."""
     _, at = utf8(column)
     for lo, hi in slices(np.diff(at), most):
