@@ -484,7 +484,8 @@ def verified(docs: DataFrame, nodes: DataFrame) -> DataFrame:
     """
     groups = nodes.groupBy("group").agg(F.count("*").alias("n"), F.sum("size").alias("total")).where("n > 1")
     chunks = F.ceil(F.greatest(F.col("n") / GROUP_DOCS, F.col("total") / GROUP_SHINGLES)).cast("int")
-    asked = nodes.join(groups.select("group", chunks.alias("chunks")), "group").select(
+    # cut off, so that the join has shuffles of its own, in which Spark can split a large group's rows
+    asked = nodes.join(cut(groups.select("group", chunks.alias("chunks"))), "group").select(
         "group", "chunks", "rep", "same", F.expr("cast(pmod(xxhash64(same), chunks) as int)").alias("chunk"))
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string").alias("text"))
     found = asked.join(texts, "rep").select("group", "chunks", "chunk", "rep", "same", "text")
