@@ -214,6 +214,40 @@ def test_suffix_dedup_of_a_passage_in_very_many_texts(spark, monkeypatch):
     assert sorted(map(tuple, suffix_dedup.digest(spark.createDataFrame(docs, "doc_id long, text string")).collect())) == _brute(docs)
 
 
+def test_suffix_dedup_broadcasts_no_texts_of_small_files(spark, monkeypatch, tmp_path):
+    """Copies take a small part of their bytes in a file, and Spark would take that for the table's size."""
+    docs = [(i, f"a text of {i % 2} that is found again in many copies. " * 6) for i in range(40)]
+    path = str(tmp_path / "documents.parquet")
+    spark.createDataFrame(docs, "doc_id long, text string").coalesce(1).write.parquet(path)
+    joins, write = {}, suffix_dedup.stored
+
+    def broadcast(df):
+        return [x for x in df._jdf.queryExecution().executedPlan().toString().split("\n") if "BroadcastHashJoin" in x]
+
+    def recorded(df, name):
+        joins[name] = broadcast(df)
+        return write(df, name)
+
+    monkeypatch.setattr(suffix_dedup, "stored", recorded)
+    found = suffix_dedup.digest(spark.read.parquet(path))
+    assert joins["again"] == [] and broadcast(found) == []
+    assert not any("Inner" in x for x in joins["found"])  # the texts' join; that with the few common anchors is an outer one
+    assert sorted(map(tuple, found.collect())) == _brute(docs)
+
+
+def test_suffix_dedup_reads_texts_in_small_batches(spark, none):
+    rows, vectored = "spark.sql.parquet.columnarReaderBatchSize", "parquet.hadoop.vectored.io.enabled"
+    try:
+        for given, kept in (((None, None), ("512", "false")), (("4096", None), ("512", "false")), (("100", "true"), ("100", "true"))):
+            for name, value in zip((rows, vectored), given, strict=True):
+                spark.conf.unset(name) if value is None else spark.conf.set(name, value)
+            suffix_dedup.digest(none)
+            assert (spark.conf.get(rows), spark.conf.get(vectored)) == kept
+    finally:
+        spark.conf.unset(rows)
+        spark.conf.unset(vectored)
+
+
 def test_suffix_dedup_of_texts_over_a_segment(spark):
     r = random.Random(1)
     big = "".join(r.choice("abcdefghij klmnop") for _ in range(suffix_dedup.SEGMENT + 5000))
